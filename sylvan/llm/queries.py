@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from .quality import op9_quality_rules
+from .substring_dedup import op3_substring_dedup
 from .url_filter import ORACLE as URL_FILTER_SQL
 from .url_filter import op4_url_filter
 
+QUERIES = (
+    op3_substring_dedup,
+    op4_url_filter,
+    op9_quality_rules,
+)
+
 
 def queries() -> dict:
-    return {"op4_url_filter": op4_url_filter, "op9_quality_rules": op9_quality_rules}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
