@@ -1,7 +1,7 @@
 """Quality rules by robust multivariate outliers (native: DataFrame functions only).
 
 Base counts come from array expressions on each text, without exploding it.  A document that the base rules keep gets a
-vector of four transformed statistics.  For each group of language and source a minimum-covariance-determinant estimate
+vector of five transformed statistics (length, word length, shares of symbols, repeated words and capitals).  For each group of language and source a minimum-covariance-determinant estimate
 is fitted: start from the documents nearest to the median in median-absolute-deviation units, then concentration steps
 (mean and covariance of the kept share ``h``, Mahalanobis distance of all, keep the nearest share ``h`` again).  A
 document goes when its squared distance under the last estimate exceeds ``cut``.
@@ -25,22 +25,17 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WS, read, words, written
+from .shared import WS, let, read, words, written
 
 #: Of the transformed statistics: names and the variance floor (in squared 1/1024 units) that keeps a fit regular.
-FEATURES = ("f_len", "f_word", "f_symbol", "f_repeat")
-FLOORS = (410**2, 103**2, 512**2, 103**2)
+FEATURES = ("f_len", "f_word", "f_symbol", "f_repeat", "f_upper")
+FLOORS = (410**2, 103**2, 80**2, 103**2, 61**2)
 UNIT = 1024.0
 #: Squared distances are cut off here and kept in 1/64 units: quantile buffers are bounded by their product.
 D2_MOST, D2_UNIT = 4096.0, 64.0
-#: The 1 - 1e-6 quantile of chi-square with four degrees of freedom.
-CUT = 33.4
-CONSISTENCY = 1.55  # covariance of the nearest 75 % against that of all, for four normal dimensions
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once for each row."""
-    return F.transform(F.array(value), body)[0]
+#: The 1 - 1e-6 quantile of chi-square with five degrees of freedom.
+CUT = 35.9
+CONSISTENCY = 1.45  # covariance of all against that of the nearest 75 %, for five normal dimensions
 
 
 def repeated_words(ws: Column) -> Column:
@@ -66,17 +61,18 @@ def repeated_words(ws: Column) -> Column:
     return F.coalesce(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h))), zero)
 
 
-def base_counts(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    t, ws = F.coalesce(text, F.lit("")), F.col("_ws")
+def base_counts(text: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^{WS}]"))
-    return [
+    return let(words(text), lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"),
         F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(ws).alias("n_repeat_words"),
-    ]
+        F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+    ))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,8 +82,8 @@ def with_statistics(docs: DataFrame, keep_rows: bool) -> DataFrame:
     """Written table: the row in struct ``doc`` (whole, or only its id), group columns, counts, base verdict, features."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_rows else F.struct("doc_id")
     d = docs.select(row.alias("doc"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.col("text").alias("_t"))
-    d = d.withColumn("_ws", words(F.col("_t")))
-    d = d.select("doc", "g_lang", "g_source", *base_counts(F.col("_t")))
+    # a struct of several fields is used more than once, so the optimiser keeps it as one column
+    d = d.select("doc", "g_lang", "g_source", base_counts(F.col("_t")).alias("_c")).select("doc", "g_lang", "g_source", "_c.*")
     n = F.col("n_words")
     d = d.withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n))
     unit = lambda c: F.rint(c * UNIT).cast("long")
@@ -96,6 +92,7 @@ def with_statistics(docs: DataFrame, keep_rows: bool) -> DataFrame:
         "f_word": unit(F.log1p(F.try_divide(F.col("word_chars") + 0.0, n + 0.0))),
         "f_symbol": unit(F.sqrt(F.try_divide(F.col("n_symbols") + 0.0, n + 0.0))),
         "f_repeat": unit(F.sqrt(F.try_divide(F.col("n_repeat_words") + 0.0, n + 0.0))),
+        "f_upper": unit(F.sqrt(F.try_divide(F.col("n_upper") + 0.0, F.col("word_chars") + 0.0))),
     })
     return written(d, "quality")
 

@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row: an expression inside a lambda runs for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; null and blank texts give an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), rf"[{WS}]+")
