@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
+from .ngram_join import op10_ngram_join
 from .quality import op9_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .url_filter import ORACLE as URL_FILTER_SQL
@@ -10,7 +12,9 @@ from .url_filter import op4_url_filter
 QUERIES = (
     op3_substring_dedup,
     op4_url_filter,
+    op7_decontamination,
     op9_quality_rules,
+    op10_ngram_join,
 )
 
 

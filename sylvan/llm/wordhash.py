@@ -105,3 +105,13 @@ def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
         inside[cross[(cross >= 0) & (cross < count)]] = False
     at = np.flatnonzero(inside)
     return mix(total[at]), at
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """The batch in parts of at most about ``most`` bytes of that column, so that memory stays bounded."""
+    _, offsets = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
