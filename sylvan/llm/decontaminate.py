@@ -45,7 +45,7 @@ def clean(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Array of template words."""
-    t = F.regexp_replace(clean(text), rf"\p{{Lu}}(?<=[^.!?:{WS}][{WS}]\p{{Lu}})\p{{L}}*", NAME)
+    t = F.regexp_replace(clean(text), rf"\p{{Lu}}(?<=[^.!?:{WS}][{WS}]\p{{Lu}})\p{{Ll}}\p{{L}}*", NAME)
     t = F.regexp_replace(t, r"[0-9](?:[0-9.,:/]*[0-9])?", NUMBER)
     t = F.regexp_replace(F.lower(t), rf"(?<=\x02[{WS}]|\x02)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     return words(stripped(t))
