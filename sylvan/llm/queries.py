@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontamination
+from .langid import op2_language_id
 from .ngram_join import op10_ngram_join
 from .quality import op9_quality_rules
+from .secrets import op8_secret_scan
 from .substring_dedup import op3_substring_dedup
 from .url_filter import ORACLE as URL_FILTER_SQL
 from .url_filter import op4_url_filter
 
 QUERIES = (
+    op2_language_id,
     op3_substring_dedup,
     op4_url_filter,
     op7_decontamination,
+    op8_secret_scan,
     op9_quality_rules,
     op10_ngram_join,
 )
