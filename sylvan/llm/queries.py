@@ -8,6 +8,7 @@ from .ngram_join import op10_ngram_join
 from .quality import op9_quality_rules
 from .secrets import op8_secret_scan
 from .substring_dedup import op3_substring_dedup
+from .token_files import op6_token_files
 from .url_filter import ORACLE as URL_FILTER_SQL
 from .url_filter import op4_url_filter
 
@@ -15,6 +16,7 @@ QUERIES = (
     op2_language_id,
     op3_substring_dedup,
     op4_url_filter,
+    op6_token_files,
     op7_decontamination,
     op8_secret_scan,
     op9_quality_rules,
