@@ -298,7 +298,8 @@ def read_tokens(segments: DataFrame) -> DataFrame:
 
     found = segments.select("shard", "segment", "docs", "data").mapInArrow(run, RESULT)
     # a segment's number of ids is in its header
-    count = F.conv(F.hex(F.reverse(F.substring("data", 17, 8))), 16, 10).cast("long")
+    digits = F.hex(F.substring("data", 17, 8))
+    count = F.conv(F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)]), 16, 10).cast("long")
     sizes = segments.select("shard", "segment", count.alias("n"))
     shard = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
