@@ -140,6 +140,7 @@ def boundary_distances(matches: DataFrame, gt: DataFrame, pred: DataFrame) -> Da
     ids = matches.select(*key)
     a = ids.join(outline(gt).withColumnRenamed("tree_id", "gt_id"), ["plot_id", "gt_id"])
     b = ids.join(outline(pred).withColumnRenamed("tree_id", "pred_id"), ["plot_id", "pred_id"])
+    b = b.select(*[F.col(k).alias(k) for k in key], "r", "c")  # columns of its own, not those of the other side
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         p, q = left[["r", "c"]].to_numpy(float), right[["r", "c"]].to_numpy(float)
