@@ -8,7 +8,7 @@ and equi-joined to the piece table, the edges found are grouped by unit, and a f
 ranks and not log probabilities, the best path is not the model's encoding, so there the fold merges the best-scored
 neighbours until none is left, which equals the sentencepiece library's result.  Cut points of a unit are bits of a long.
 
-Scale: documents travel as compressed blobs of a few megabytes of text, each a block.  A block asks for the units it
+Scale: documents travel as compressed blobs of some megabytes of text, each a block.  A block asks for the units it
 has, once each, so a word in a third of all documents costs one row a block.  Answers go back to the blocks, which look
 their documents' units up in a dictionary no larger than their own text.  One shuffle carries the blobs (both readers
 share it), one the asked units, one the answers.  The piece table is broadcast; its bound is the vocabulary file.  Units
@@ -34,7 +34,7 @@ from .shared import let, read, scan_partitions
 from .wordhash import slices
 
 MODEL = "piece_bpe_32k.model"
-SPACE, MOST, BLOCK_BYTES = "▁", 60, 8 << 20
+SPACE, MOST, BLOCK_BYTES = "▁", 60, 16 << 20
 
 
 @dataclass
@@ -121,37 +121,54 @@ def encode_unit(unit: str, v: Vocabulary) -> list[int]:
         parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
 
+def bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
 def edges(units: DataFrame, v: Vocabulary) -> DataFrame:
-    """(unit, edges): substrings that are pieces, and single characters; ends and inner cut points as bits."""
+    """(unit, edges): substrings that are pieces, and single characters, cheapest first, ties from the left.
+
+    Edges travel through the grouping as one long each: rank of the score, start, end, id (0: a character without piece).
+    """
     spark = units.sparkSession
-    table = spark.createDataFrame([(p, i, s) for p, (i, s) in v.score.items()], "piece string, id int, score double")
+    costs = sorted({-s for _, s in v.score.values()})
+    rank = {c: k for k, c in enumerate(costs)}
+    table = [(p, rank[-s] << 36 | i + 1) for p, (i, s) in v.score.items()]
+    table = spark.createDataFrame(table, "piece string, packed long")
     n = F.length("unit")
     every = F.flatten(
         F.transform(
             F.sequence(F.lit(0), n - 1),
             lambda s: F.transform(
                 F.sequence(F.lit(1), F.least(F.lit(v.longest), n - s)),
-                lambda k: F.struct(s.alias("start"), k.alias("len"), F.substring("unit", s + 1, k).alias("piece")),
+                lambda k: F.struct(((s * 64 + s + k).cast("long") * (1 << 24)).alias("place"), F.substring("unit", s + 1, k).alias("piece")),
             ),
         )
     )
     spread = units.select("unit", F.inline(every))
-    found = spread.join(F.broadcast(table), "piece", "left").filter("id is not null or len = 1")
-    raw = F.encode("piece", "UTF-8")
-    own = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda k: F.conv(F.hex(F.substring(raw, k, 1)), 16, 10).cast("int"))
-    other = F.array(F.lit(v.unknown)) if v.first_byte is None else F.transform(own, lambda b: b + v.first_byte)
-    lowest = min(s for _, s in v.score.values()) - 10.0
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    end = F.col("start") + F.col("len")
-    edge = F.struct(
-        (-F.coalesce("score", F.lit(lowest))).alias("cost"),
-        "start",
-        end.alias("end"),
-        (bit(F.col("start")) + bit(end)).alias("ends"),
-        (bit(end) - bit(F.col("start") + 1)).alias("inner"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(other).alias("ids"),
+    found = spread.join(F.broadcast(table), "piece", "left").filter("packed is not null or length(piece) = 1")
+    edge = (F.coalesce("packed", F.lit(len(costs) << 36)) + F.col("place")).alias("edge")
+    packed = found.select("unit", edge).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+    raw = lambda c: F.encode(c, "UTF-8")
+    value = lambda c: F.transform(
+        F.sequence(F.lit(1), F.length(raw(c))), lambda k: F.conv(F.hex(F.substring(raw(c), k, 1)), 16, 10).cast("int")
     )
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    lowest = min(s for _, s in v.score.values()) - 10.0
+    cost = F.array(*[F.lit(c) for c in [*costs, -lowest]]) if v.unigram else None
+    field = lambda e, at, mask: F.shiftright(e, at).bitwiseAND(F.lit(mask)).cast("int")
+
+    def unpacked(e: Column) -> Column:
+        start, end, number = field(e, 30, 63), field(e, 24, 63), field(e, 0, (1 << 24) - 1)
+        char = F.substring("unit", start + 1, F.lit(1))
+        other = F.array(F.lit(v.unknown)) if v.first_byte is None else F.transform(value(char), lambda b: b + v.first_byte)
+        return F.struct(
+            *([F.get(cost, F.shiftright(e, 36).cast("int")).alias("cost")] if v.unigram else []),
+            start.alias("start"), end.alias("end"), (bit(start) + bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inner"),
+            F.when(number > 0, F.array(number - 1)).otherwise(other).alias("ids"),
+        )
+
+    return packed.select("unit", F.transform("edges", unpacked).alias("edges"))
 
 
 def merged(n: Column, sorted_edges: Column) -> Column:
@@ -200,10 +217,12 @@ def encode_units(units: DataFrame, v: Vocabulary) -> DataFrame:
 
         return let(fold(n, found), ids)
 
-    return edges(units, v).select("unit", path(F.col("edges")).alias("ids"))
+    return edges(units, v).select("unit", let(F.col("edges"), path).alias("ids"))
 
 
 BLOB = "block long, blob binary"
+#: Units of a block are numbered; block and number make one long.
+SLOT = 22
 
 
 def blobs(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -212,10 +231,11 @@ def blobs(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 16
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))
         for part in (p for whole in batches for p in slices(whole, "text", block_bytes)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
                 out.write_batch(part)
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()])})
             block += 1
@@ -228,6 +248,15 @@ def opened(blob: bytes) -> tuple[list, list[str]]:
     return table["doc_id"].to_pylist(), [t or "" for t in table["text"].to_pylist()]
 
 
+def units_of(texts: list[str], pairs: set[str]) -> tuple[dict[str, list[str]], list[str]]:
+    """(units of each distinct word, the distinct units that are not too long, sorted)."""
+    words: set[str] = set()
+    for text in texts:
+        words.update(WORD.findall(normal(text)))
+    parts = {w: cut(w, pairs) for w in words}
+    return parts, sorted({u for us in parts.values() for u in us if len(u) <= MOST})
+
+
 RESULT = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, text_back boolean"
 
 
@@ -241,42 +270,51 @@ def encode(docs: DataFrame, v: Vocabulary, block_bytes: int = BLOCK_BYTES, with_
     """Per document: ids, their number, their checksum (little-endian 32-bit), whether they decode to the text."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((v, v.pairs))
+    parts = scan_partitions(docs.sparkSession)
     dealt = blobs(docs, block_bytes)
 
     def ask(batches):
         _, pairs = shared.value
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
-                words = set()
-                for text in opened(blob)[1]:
-                    words.update(WORD.findall(normal(text)))
-                units = sorted({u for w in words for u in cut(w, pairs) if len(u) <= MOST})
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(units), pa.int64()), "unit": pa.array(units, pa.string())})
-
-    asked = dealt.mapInArrow(ask, "block long, unit string").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    found = encode_units(asked.select("unit"), v)
-    answers = asked.join(found, "unit").select(F.explode("blocks").alias("block"), "unit", "ids")
-    answers = answers.repartition(scan_partitions(docs.sparkSession), "block")
+                _, units = units_of(opened(blob)[1], pairs)
+                slots = np.arange(len(units), dtype=np.int64) + (block << SLOT)
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(slots), "unit": pa.array(units, pa.string())})
+
+    asked = dealt.mapInArrow(ask, "slot long, unit string").repartition(parts, "unit")
+    asked = asked.groupBy("unit").agg(F.collect_list("slot").alias("slots"))
+    # the filter keeps the slots' column in this branch too, so that both branches are one exchange
+    found = encode_units(asked.filter(F.size("slots") > 0).select("unit"), v)
+    three = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 6, "0")), ""))
+    answers = asked.join(found.select("unit", three.alias("ids")), "unit").select(F.explode("slots").alias("slot"), "ids")
+    number = F.col("slot").bitwiseAND(F.lit((1 << SLOT) - 1)).cast("int")
+    answers = answers.select(F.shiftright("slot", SLOT).alias("block"), number.alias("number"), "ids").repartition(parts, "block")
 
     def answer(blocks: pa.Table, units: pa.Table) -> pa.Table:
         own, pairs = shared.value
-        known = dict(zip(units["unit"].to_pylist(), (np.array(i, "<i4").tobytes() for i in units["ids"].to_pylist())))
-        word_ids: dict[str, bytes] = {}
+        opened_blobs = [opened(blob) for blob in blocks["blob"].to_pylist()]
+        word_parts, asked_units = units_of([t for _, texts in opened_blobs for t in texts], pairs)
+        raw, offsets = binary_parts(units["ids"])
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 2::-1] = raw.reshape(-1, 3)
+        wide, known = wide.tobytes(), {}
+        for k, a, b in zip(units["number"].to_pylist(), (offsets[:-1] // 3 * 4).tolist(), (offsets[1:] // 3 * 4).tolist()):
+            known[asked_units[k]] = wide[a:b]
+        word_ids = {
+            w: b"".join([known[u] if u in known else np.array(encode_unit(u, own), "<i4").tobytes() for u in us])
+            for w, us in word_parts.items()
+        }
+        del word_parts, known
         names, ids, counts, crcs, back = [], [], [], [], []
-        for blob in blocks["blob"].to_pylist():
-            for name, text in zip(*opened(blob)):
-                words = WORD.findall(normal(text))
-                for w in {w for w in words if w not in word_ids}:
-                    parts = cut(w, pairs)
-                    word_ids[w] = b"".join([known[u] if u in known else np.array(encode_unit(u, own), "<i4").tobytes() for u in parts])
-                raw = b"".join([word_ids[w] for w in words])
-                numbers = np.frombuffer(raw, "<i4")
-                names.append(name)
-                if with_ids:
-                    ids.append(numbers)
-                counts.append(len(numbers))
-                crcs.append(zlib.crc32(raw))
-                back.append(decode(numbers.tolist(), own.pieces) == text)
+        for name, text in ((n, t) for blob in opened_blobs for n, t in zip(*blob)):
+            raw = b"".join([word_ids[w] for w in WORD.findall(normal(text))])
+            numbers = np.frombuffer(raw, "<i4")
+            names.append(name)
+            if with_ids:
+                ids.append(numbers)
+            counts.append(len(numbers))
+            crcs.append(zlib.crc32(raw))
+            back.append(decode(numbers.tolist(), own.pieces) == text)
         return pa.table({
             "doc_id": pa.array(names, pa.int64()), "ids": pa.array(ids if with_ids else [None] * len(names), pa.list_(pa.int32())),
             "n_pieces": pa.array(counts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64()), "text_back": pa.array(back, pa.bool_()),
@@ -285,6 +323,16 @@ def encode(docs: DataFrame, v: Vocabulary, block_bytes: int = BLOCK_BYTES, with_
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, RESULT)
 
 
+def binary_parts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    column = pa.concat_arrays(column.chunks).cast(pa.large_binary()) if column.num_chunks else pa.array([], pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def default_vocabulary() -> Vocabulary:
     import public_tokenizers
 
