@@ -85,12 +85,11 @@ def test_leaks(spark):
     bench = spark.createDataFrame([(10, ITEM), (11, "too short"), (12, None), (13, "an item that no document has in it anywhere")], "item_id long, text string")
     for most in (10**6, 0):  # broadcast and shuffled
         found = decontaminate.find_leaks(docs, bench, most_broadcast=most).select("doc.doc_id", "items").collect()
-        assert Counter((r.doc_id, *r["items"]) for r in found) == Counter(
-            [(1, 10), (1, 10), (2, 10), (3,), (4,), (5,), (6,), (7,) if False else (7,), (8, 10), (None, 10)]
-        ) or {r.doc_id for r in found if r["items"]} >= {1, 2, 8, None}
-        assert {r.doc_id for r in found if not r["items"]} >= {3, 4, 5, 6}
+        got = Counter((r.doc_id, *r["items"]) for r in found)
+        # in capitals the item's names are no names, so too few of its windows are found
+        assert got == Counter([(1, 10), (1, 10), (2, 10), (3,), (4,), (5,), (6,), (7,), (8, 10), (None, 10)])
     clean = decontaminate.remove_leaks(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} >= {3, 4, 5, 6}
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6, 7}
 
 
 def test_slots_must_agree(spark):
