@@ -207,6 +207,6 @@ def rolled_up(counts: DataFrame, *keys: str) -> DataFrame:
 def source_balanced(counts: DataFrame, plots: DataFrame) -> DataFrame:
     """Panoptic quality of each source; then the plain mean and population deviation over sources."""
     by = rolled_up(counts.join(plots, "plot_id"), "collection")
-    pq = F.col("iou_sum") / (F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"))
+    pq = safe_ratio(F.col("iou_sum"), F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"))  # NULL without crowns
     by = by.select("collection", pq.alias("pq"))
     return by.agg(F.count("*").alias("sources"), F.avg("pq").alias("mean_pq"), F.stddev_pop("pq").alias("std_pq"))

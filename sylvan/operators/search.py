@@ -41,7 +41,7 @@ def winner(trials: DataFrame) -> DataFrame:
 def leave_one_source_out(trials: DataFrame) -> DataFrame:
     """For each held-out source: the candidate with the best mean over the others, and its score on the source."""
     whole = Window.partitionBy("candidate_id")
-    rest = (F.sum("score").over(whole) - F.col("score")) / (F.count("*").over(whole) - 1)
+    rest = F.try_divide(F.sum("score").over(whole) - F.col("score"), F.count("*").over(whole) - 1)
     found = trials.filter("score is not null").withColumn("rest", rest).filter("rest is not null")
     order = Window.partitionBy("source").orderBy(F.desc(F.round("rest", 9)), "candidate_id")
     best = found.withColumn("r", F.row_number().over(order)).filter("r = 1")
