@@ -43,7 +43,7 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Selector of a word that holds one escaped id, which is in the list of escapes.
 ESCAPED = 14
-BLOCK, SEGMENT_IDS, MEMO = 1024, 1 << 18, 1_000_000
+BLOCK, SEGMENT_IDS, MEMO = 1024, 1 << 18, 1_800_000
 MAGIC = int.from_bytes(b"S8B1\0\0\0\0", "little")
 
 
