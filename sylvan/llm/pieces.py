@@ -34,7 +34,7 @@ from .shared import let, read, scan_partitions
 from .wordhash import slices
 
 MODEL = "piece_bpe_32k.model"
-SPACE, MOST, BLOCK_BYTES = "▁", 60, 16 << 20
+SPACE, MOST, BLOCK_BYTES = "▁", 60, 8 << 20
 
 
 @dataclass
@@ -283,33 +283,32 @@ def encode(docs: DataFrame, v: Vocabulary, block_bytes: int = BLOCK_BYTES, with_
 
     asked = dealt.mapInArrow(ask, "slot long, unit string").repartition(parts, "unit")
     asked = asked.groupBy("unit").agg(F.collect_list("slot").alias("slots"))
-    # the filter keeps the slots' column in this branch too, so that both branches are one exchange
+    # a block is one blob; the filter keeps the slots' column in this branch too, so that both branches are one exchange
     found = encode_units(asked.filter(F.size("slots") > 0).select("unit"), v)
     three = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 6, "0")), ""))
-    answers = asked.join(found.select("unit", three.alias("ids")), "unit").select(F.explode("slots").alias("slot"), "ids")
-    number = F.col("slot").bitwiseAND(F.lit((1 << SLOT) - 1)).cast("int")
-    answers = answers.select(F.shiftright("slot", SLOT).alias("block"), number.alias("number"), "ids").repartition(parts, "block")
+    rows = asked.join(found.select("unit", three.alias("ids")), "unit").select(F.explode("slots").alias("slot"), "ids")
+    answers = rows.mapInArrow(pack_answers, "block long, answers binary").repartition(parts, "block")
 
-    def answer(blocks: pa.Table, units: pa.Table) -> pa.Table:
+    def answer(blocks: pa.Table, packed: pa.Table) -> pa.Table:
         own, pairs = shared.value
-        opened_blobs = [opened(blob) for blob in blocks["blob"].to_pylist()]
-        word_parts, asked_units = units_of([t for _, texts in opened_blobs for t in texts], pairs)
-        raw, offsets = binary_parts(units["ids"])
-        wide = np.zeros((len(raw) // 3, 4), np.uint8)
-        wide[:, 2::-1] = raw.reshape(-1, 3)
-        wide, known = wide.tobytes(), {}
-        for k, a, b in zip(units["number"].to_pylist(), (offsets[:-1] // 3 * 4).tolist(), (offsets[1:] // 3 * 4).tolist()):
-            known[asked_units[k]] = wide[a:b]
-        word_ids = {
-            w: b"".join([known[u] if u in known else np.array(encode_unit(u, own), "<i4").tobytes() for u in us])
-            for w, us in word_parts.items()
-        }
-        del word_parts, known
-        names, ids, counts, crcs, back = [], [], [], [], []
-        for name, text in ((n, t) for blob in opened_blobs for n, t in zip(*blob)):
+        blob = blocks["blob"][0].as_py()
+        names, texts = opened(blob)
+        word_parts, asked_units = units_of(texts, pairs)
+        known = {}
+        for data in packed["answers"].to_pylist():
+            numbers, sizes, wide = unpack_answers(data)
+            ends = np.cumsum(sizes) * 4
+            for k, a, b in zip(numbers.tolist(), (ends - sizes * 4).tolist(), ends.tolist()):
+                known[asked_units[k]] = wide[a:b]
+        word_ids = {}
+        while word_parts:
+            w, us = word_parts.popitem()
+            word_ids[w] = b"".join([known[u] if u in known else np.array(encode_unit(u, own), "<i4").tobytes() for u in us])
+        del known, asked_units
+        ids, counts, crcs, back = [], [], [], []
+        for text in texts:
             raw = b"".join([word_ids[w] for w in WORD.findall(normal(text))])
             numbers = np.frombuffer(raw, "<i4")
-            names.append(name)
             if with_ids:
                 ids.append(numbers)
             counts.append(len(numbers))
@@ -323,14 +322,51 @@ def encode(docs: DataFrame, v: Vocabulary, block_bytes: int = BLOCK_BYTES, with_
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, RESULT)
 
 
-def binary_parts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column."""
-    column = pa.concat_arrays(column.chunks).cast(pa.large_binary()) if column.num_chunks else pa.array([], pa.large_binary())
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+def pack_answers(batches):
+    """Answers (slot, ids of three bytes each) as one compressed row for each block, of some batches at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        table = pa.Table.from_batches(held).combine_chunks()
+        slots = table["slot"].to_numpy()
+        order = np.argsort(slots, kind="stable")
+        slots, column = slots[order], table["ids"].take(pa.array(order))
+        column = pa.concat_arrays(column.chunks).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        raw = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        blocks, first = np.unique(slots >> SLOT, return_index=True)
+        packed = []
+        for a, b in zip(first, [*first[1:], len(slots)]):
+            numbers, sizes = slots[a:b] & ((1 << SLOT) - 1), np.diff(offsets[a : b + 1]) // 3
+            body = raw[offsets[a] : offsets[b]].reshape(-1, 3).T  # bytes of equal weight together
+            head = np.array([b - a, sizes.sum()], "<i8")
+            steps = np.diff(numbers, prepend=0).astype("<i4")
+            data = b"".join(x.tobytes() for x in (head, steps, sizes.astype("<u2"), body))
+            packed.append(len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"block": pa.array(blocks), "answers": pa.array(packed, pa.binary())})
+
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 500_000:
+            yield flush()
+            rows = 0
+    if rows:
+        yield flush()
+
+
+def unpack_answers(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(numbers of units, ids of each, all ids as little-endian 32-bit)."""
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n, total = np.frombuffer(data, "<i8", 2).tolist()
+    numbers = np.cumsum(np.frombuffer(data, "<i4", n, 16))
+    sizes = np.frombuffer(data, "<u2", n, 16 + 4 * n).astype(np.int64)
+    wide = np.zeros((total, 4), np.uint8)
+    wide[:, 2::-1] = np.frombuffer(data, np.uint8, 3 * total, 16 + 6 * n).reshape(3, -1).T
+    return numbers, sizes, wide.tobytes()
 
 
 def default_vocabulary() -> Vocabulary:
