@@ -3,8 +3,9 @@
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after numbers turn into typed
 placeholders, the rest is lower-cased and stripped of punctuation.  Windows of five template words are hash-joined with
 the benchmark's.  A document holds an item when ``share`` of the item's windows are found in it and the values behind
-the placeholders are consistent: along the best alignment each value of the item goes with one value of the document,
-so a question with other numbers or names still counts, and a chance template does not.
+the placeholders are consistent: along some alignment each value of the item goes with one value of the document,
+so a question with other numbers or names still counts, and a chance template does not.  A slot's place in the document
+comes from a matching window that covers it; slots without one say nothing.
 
 Scale: the documents' windows are exploded lazily, filtered by the join at once and pre-aggregated; the benchmark's
 windows are broadcast only after their number has been counted and is under ``most_broadcast``, else both sides are
@@ -79,14 +80,35 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return windows, items.select("item", "slots", F.size("hashes").alias("n_windows"))
 
 
+def covered(slots: Column, hits: Column) -> Column:
+    """The slots that a matching window covers, each with the shifts at which one does."""
+
+    def shifts(at: Column) -> Column:
+        near = F.filter(hits, lambda h: (h["at"] <= at) & (h["at"] > at - WINDOW))
+        return F.array_distinct(F.transform(near, lambda h: h["shift"]))
+
+    found = F.transform(slots, lambda s: F.struct(s["at"], s["value"], shifts(s["at"]).alias("shifts")))
+    return F.filter(found, lambda s: F.size(s["shifts"]) > 0)
+
+
 def consistent(held: Column, ws: Column) -> Column:
-    """Whether the alignment's slots map the item's values to one document value each, but for a few."""
-    pairs = F.transform(
-        held["slots"], lambda s: F.struct(s["value"], F.get(ws, s["at"] + held["shift"]).alias("own"))
-    )
-    pairs = F.filter(pairs, lambda p: p["own"].isNotNull())
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["value"]))
-    return (F.size(F.array_distinct(pairs)) - F.size(keys)) <= F.floor(SLACK * F.size(held["slots"]))
+    """Whether some alignment's slots map the item's values to one document value each, but for a few.
+
+    An alignment follows one shift; a slot that no window matched there takes the nearest shift of one that covers it, so
+    words put in or left out move the slots behind them, and a passage elsewhere does not disturb.
+    """
+
+    def agrees(lead: Column) -> Column:
+        def own(s: Column) -> Column:
+            near = F.array_min(F.transform(s["shifts"], lambda x: F.struct(F.abs(x - lead).alias("far"), x.alias("shift"))))
+            return F.get(ws, s["at"] + near["shift"])
+
+        pairs = F.transform(held["slots"], lambda s: F.struct(s["value"], own(s).alias("own")))
+        pairs = F.filter(pairs, lambda p: p["own"].isNotNull())
+        surplus = lambda ps: F.size(F.array_distinct(ps)) - F.size(F.array_distinct(F.transform(ps, lambda p: p["value"])))
+        return let(pairs, surplus) <= F.floor(SLACK * held["n_slots"])
+
+    return F.exists(held["leads"], agrees)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -97,10 +119,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     spread = docs.select(digest, template(F.col("text")).alias("t")).select("digest", window_hashes(F.col("t")).alias("h"))
     spread = spread.select("digest", F.posexplode("h").alias("pos", "hash"))
     hits = spread.join(F.broadcast(windows) if small else windows, "hash")
-    hits = hits.groupBy("digest", "item", "at").agg(F.min("pos").alias("pos"))
-    held = hits.groupBy("digest", "item").agg(F.count("*").alias("n"), F.mode(F.col("pos") - F.col("at"), True).alias("shift"))
-    held = held.join(items, "item").filter(F.col("n") >= share * F.col("n_windows"))
-    held = held.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("item", "shift", "slots"))).alias("held"))
+    # every place where a window of the item was found, as a set: copies of a text fall together in each task
+    hit = F.struct("at", (F.col("pos") - F.col("at")).alias("shift"))
+    held = hits.groupBy("digest", "item").agg(F.collect_set(hit).alias("hits"))
+    found = F.size(F.array_distinct(F.transform("hits", lambda h: h["at"])))
+    held = held.join(items, "item").filter(found >= share * F.col("n_windows"))
+    leads = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["shift"])))
+    one = F.struct("item", covered(F.col("slots"), F.col("hits")).alias("slots"), F.size("slots").alias("n_slots"), leads.alias("leads"))
+    held = held.groupBy("digest").agg(F.sort_array(F.collect_list(one)).alias("held"))
     held = written(held, "leaks")
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")

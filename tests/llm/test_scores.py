@@ -102,6 +102,23 @@ def test_slots_must_agree(spark):
     assert found == {1: [1], 2: []}
 
 
+def test_slots_move_with_inserted_words(spark):
+    item = ("after lunch Tom gave 7 pears and then Tom told Ann that the tall Tom likes how Bob and Tom had "
+            "seen 9 boats while the small Ann went to where old Tom sat")
+    w = item.split()
+    inserted = " ".join([*w[:16], "really", *w[16:]])
+    part = " ".join(w[:10]).replace("Tom", "Max") + " ended there"
+    torn = item
+    for name in ("Eve", "Max", "Liz", "Joe", "Sam"):
+        torn = torn.replace("Tom", name, 1)
+    rows = [(1, f"so {inserted} today"), (2, f"one day {part} and later {item} again"), (3, f"so {torn} today"), (4, f"first {torn} then {item} at last"),
+            (5, f"first {torn} then {inserted} at last"), (6, f"so {torn} and {torn} too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r["items"] for r in decontaminate.find_leaks(docs, bench).select("doc.doc_id", "items").collect()}
+    assert found == {1: [1], 2: [1], 3: [], 4: [1], 5: [1], 6: []}
+
+
 def test_leaks_of_nothing(empty, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(empty, bench).collect() == []
