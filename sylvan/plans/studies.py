@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -47,19 +49,42 @@ def unpacked(d: DataFrame, dimensions: int) -> DataFrame:
     return VectorAssembler(inputCols=[f"x{k}" for k in range(dimensions)], outputCol="features").transform(d)
 
 
-def forest(done: DataFrame, dimensions: int, trees: int = 30, seed: int = 1):
+def forest(done: DataFrame, dimensions: int, trees: int = 300, seed: int = 1):
     model = RandomForestRegressor(labelCol="score", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.8", seed=seed)
     return model.fit(unpacked(done, dimensions))
 
 
+def votes_of(model, x: np.ndarray) -> np.ndarray:
+    """(tree, row): the prediction of each tree, read from the model's text in one call to the JVM."""
+    line = re.compile(r"\s*(?:(If|Else) \(feature (\d+) (?:<=|>) (\S+)\)|Predict: (\S+)|Tree \d+ .*)$")
+    out: list[np.ndarray] = []
+    # rows that reach a line, innermost condition last; an Else has the rows that its If left
+    inside: list[np.ndarray] = []
+    left: list[np.ndarray] = []
+    for text in model.toDebugString.splitlines()[1:]:
+        m = line.match(text)
+        if m is None:
+            continue
+        if m[4] is not None:
+            out[-1][inside.pop()] = float(m[4])
+        elif m[1] == "If":
+            rows = inside.pop()
+            low = x[rows, int(m[2])] <= float(m[3])
+            left.append(rows[~low])
+            inside.append(rows[low])
+        elif m[1] == "Else":
+            inside.append(left.pop())
+        else:
+            out.append(np.full(len(x), np.nan))
+            inside.append(np.arange(len(x)))
+    return np.array(out)
+
+
 def predicted(model, pool: DataFrame, dimensions: int) -> list[tuple[int, float, float]]:
     """(candidate, mean, deviation over trees) of a pool, which has the size of a proposal round."""
-    rows = unpacked(pool, dimensions).select("candidate_id", "features").collect()
-    out = []
-    for r in rows:
-        votes = np.array([t.predict(r.features) for t in model.trees])
-        out.append((r.candidate_id, float(votes.mean()), float(votes.std())))
-    return out
+    rows = pool.select("candidate_id", "u").collect()
+    votes = votes_of(model, np.array([r.u[:dimensions] for r in rows]))
+    return [(r.candidate_id, float(m), float(s)) for r, m, s in zip(rows, votes.mean(0), votes.std(0))]
 
 
 def propose(spark: SparkSession, done: DataFrame, dimensions: int, pool_size: int, seed: int, kappa: float = 1.0) -> DataFrame:
@@ -79,7 +104,7 @@ def propose_leave_one_out(spark: SparkSession, done: DataFrame, dimensions: int,
     rounds = []
     for source in sources:
         rest = done.filter(F.col("source") != source).groupBy("candidate_id", "u").agg(F.avg("score").alias("score"))
-        rounds.append(sorted(predicted(forest(rest, dimensions, trees=20, seed=seed), pool, dimensions)))
+        rounds.append(sorted(predicted(forest(rest, dimensions, seed=seed), pool, dimensions)))
     table = np.array([[(m, s) for _, m, s in r] for r in rounds])
     value = table[:, :, 0].mean(0) - 0.25 * table[:, :, 0].std(0) + kappa * table[:, :, 1].mean(0)
     return pool.filter(F.col("candidate_id") == rounds[0][int(value.argmax())][0])

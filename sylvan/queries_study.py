@@ -320,12 +320,12 @@ def h05_initial_designs(spark, sf):
 
 @query()
 def h06_surrogate_proposal(spark, sf):
-    return studies.propose(spark, studies.scored_designs(spark, 24, 8, 20260921), 8, 64, 20260921)
+    return studies.propose(spark, studies.scored_designs(spark, 24, 8, 20260921), 8, 2048, 20260921)
 
 
 @query()
 def h07_leave_one_out_proposal(spark, sf):
-    return studies.propose_leave_one_out(spark, studies.scored_designs(spark, 24, 8, 20260922), 8, 64, 20260922)
+    return studies.propose_leave_one_out(spark, studies.scored_designs(spark, 24, 8, 20260922), 8, 2048, 20260922)
 
 
 @query("SELECT * FROM (" + LEGACY + """ SELECT count(*) AS n, count(*) FILTER (median % 2 = 1) AS median_odd, count(*) FILTER (high > low) AS limits_ordered, count(*) FILTER (least(low*s_mid + i_mid, high*s_mid + i_mid, high*s_high + i_high) > 0) AS windows_positive FROM f)""")

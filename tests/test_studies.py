@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvan import queries_raster, queries_study
 from sylvan.operators import rasterize, search
+from sylvan.plans import studies
 from sylvan.sources import sinks, tables
 from sylvan.streaming import canopy
 
@@ -82,3 +83,23 @@ def test_trial_windows_drop_late_events(spark, tmp_path):
     df = spark.createDataFrame(rows, "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
     found = {(str(r.start), r.event_type): (r.n, r["mean"]) for r in canopy.trial_windows(df).collect()}
     assert found == {("2024-01-01 00:00:00", "a"): (2, 2.0), ("2024-01-01 01:00:00", "b"): (1, 5.0)}
+
+
+def test_proposals_use_the_whole_forest_and_pool(spark, monkeypatch):
+    sizes = []
+    real = studies.predicted
+
+    def spy(model, pool, dimensions):
+        out = real(model, pool, dimensions)
+        rows = {r.candidate_id: r.features for r in studies.unpacked(pool, dimensions).filter("candidate_id < 3").collect()}
+        for i, mean, deviation in out[:3]:
+            votes = [t.predict(rows[i]) for t in model.trees[:3]]
+            assert votes == studies.votes_of(model, rows[i].toArray()[None])[:3, 0].tolist()
+            assert mean == pytest.approx(model.predict(rows[i])) and deviation >= 0
+        sizes.append((model.getNumTrees, len(out)))
+        return out
+
+    monkeypatch.setattr(studies, "predicted", spy)
+    assert queries_study.h06_surrogate_proposal(spark, "").count() == 1
+    assert queries_study.h07_leave_one_out_proposal(spark, "").count() == 1
+    assert sizes == [(300, 2048)] * 4
