@@ -95,7 +95,7 @@ class Scorer:
         grams = self.model["rows"]
         flat, counts, cost = [], [], []
         for w in unseen:
-            m, found = f"^{w[:200]}$", []
+            m, found = f"^{w}$", []
             for k in range(min(LONGEST, len(m)), 0, -1):
                 known = grams[k]
                 found = [r for i in range(len(m) - k + 1) if (r := known.get(m[i : i + k])) is not None]

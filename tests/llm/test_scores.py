@@ -195,6 +195,13 @@ def test_held_out_accuracy(spark):
     assert sum(found[k].lang_pred == la for k, _, la in rows if found[k].held_out) >= 0.98 * sum(found[k].held_out for k, *_ in rows)
 
 
+def test_long_words_are_scored_whole():
+    rows = [{}, *({} for _ in range(4)), {"nicht": 0, "that$": 1}]
+    model = {"langs": ["de", "en"], "rows": rows, "matrix": np.array([[-1, -9], [-9, -1]], np.float32), "floor": None}
+    for word, best in (("q" * 300 + "nicht" + "q" * 300, 0), ("q" * 5000 + "that", 1)):
+        assert langid.Scorer(model).sums([word])[0].argmax(1).tolist() == [best]
+
+
 def test_urls_against_sql(spark, tmp_path):
     urls = ["http://A.Example.org/es/1?x", "https://b.example.org/en/12", "ftp://x.org", "http://x.org/", "http://q.com/fr/9#t", "q.com/de/1", None, "",
             "http://q.com/de/1", "http://q.com/en/5", "http://q.com?u=://z.org/", "://", "http://y.net/2024-01-02/a.html", "http://y.net/7.html"] * 3
