@@ -2,9 +2,10 @@
 
 Credentials that the base patterns label are grouped by kind.  Each kind's strings, written as character classes, form a
 prefix tree; statistically compatible states (Hoeffding bound on every symbol and on ending, recursively) are merged
-from the root outwards, which gives a probabilistic automaton of the kind's format.  Every candidate token of every
-text is then scored under all automata against a class-bigram model of ordinary long words; a mean log-likelihood ratio
-of ``least_ratio`` or more makes it a span of kind ``format``.  Base spans always stay.
+from the root outwards, which gives a probabilistic automaton of the kind's format.  Every run of the credentials'
+characters, of the least length of any kind, is then scored to its end under all automata against a class-bigram model of
+ordinary long tokens (words and numbers joined by signs); a mean log-likelihood ratio of ``least_ratio`` or more makes it
+a span of kind ``format``.  A run that is none is judged without dots around it, then in its parts.  Base spans always stay.
 
 Training takes at most SAMPLE strings a kind and SAMPLE ordinary words, of each hash slot the one with the smallest hash,
 so it is the same however rows are partitioned; its result is a few kilobytes that travel with the task.  The scan is one pass in
@@ -34,8 +35,11 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "format")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-SAMPLE, LONGEST, RATIO, ALPHA = 256, 64, 0.35, 0.05
+CANDIDATE = rf"[A-Za-z0-9+/_.=-]{{{min(LEAST.values())},}}"
+#: A run as a whole, without dots around it, between dots, between all signs that also separate.
+PARTS = tuple(re.compile(p) for p in (".+", r"[^.](?:.*[^.])?", r"[^.]+", r"[^.=/+]+"))
+#: LONGEST bounds the strings that train; tokens are scored whole.
+SAMPLE, LONGEST, RATIO, ALPHA = 256, 1024, 0.35, 0.05
 CLASS_SIZE = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 END = "$"
 
@@ -57,15 +61,16 @@ class State:
 
 
 def prefix_tree(strings: list[str]) -> State:
+    """Counts of prefixes; a string over LONGEST is cut and has no end."""
     root = State()
     for s in strings:
         at = root
         at.count += 1
-        for c in s:
+        for c in s[:LONGEST]:
             at.seen[c] += 1
             at = at.next.setdefault(c, State())
             at.count += 1
-        at.end += 1
+        at.end += len(s) <= LONGEST
     return root
 
 
@@ -130,19 +135,18 @@ def infer(strings: list[str]) -> list[dict]:
 
 
 def bigrams(strings: list[str]) -> dict[str, float]:
-    """Log probability of a class after a class in ordinary words."""
+    """Log probability of a class, or of the end, after a class in ordinary tokens."""
     pair, one = defaultdict(int), defaultdict(int)
     for s in strings:
-        for a, b in zip("^" + s, s + END):
+        for a, b in zip("^" + s[:LONGEST], s[:LONGEST] + END * (len(s) <= LONGEST)):
             pair[a + b] += 1
             one[a] += 1
     return {p: math.log((n + 0.5) / (one[p[0]] + 6)) for p, n in pair.items()}
 
 
 def ratio(token: str, automata: list[list[dict]], ordinary: dict[str, float]) -> float:
-    """Mean log-likelihood ratio, a symbol, of the likeliest automaton against the model of ordinary words."""
-    s = classes(token[:LONGEST])
-    plain = sum(ordinary.get(a + b, -7.0) for a, b in zip("^" + s, s))
+    """Mean log-likelihood ratio, a symbol (END is one), of the likeliest automaton against the model of ordinary tokens."""
+    s = classes(token)
     best = -math.inf
     for states in automata:
         at, total = 0, 0.0
@@ -152,27 +156,52 @@ def ratio(token: str, automata: list[list[dict]], ordinary: dict[str, float]) ->
                 total = -math.inf
                 break
             total, at = total + step, states[at]["next"][c]
-        best = max(best, total)
-    return (best - plain) / len(s)
+        best = max(best, total + states[at]["log"][END])
+    if best == -math.inf:
+        return best
+    plain = sum(ordinary.get(a + b, -7.0) for a, b in zip("^" + s, s + END))
+    return (best - plain) / (len(s) + 1)
+
+
+def format_spans(run: str, model: dict, least_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the run, or of its largest parts, that an automaton explains."""
+    for part in PARTS:
+        spans = [m.span() for m in part.finditer(run)]
+        found = [
+            (a, b) for a, b in spans
+            if b - a >= min(LEAST.values()) and ratio(run[a:b], model["automata"], model["ordinary"]) >= least_ratio
+        ]
+        if found:
+            return found
+    return []
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Automata of the base kinds and the model of ordinary words, from bounded samples with the smallest hashes."""
+    """Automata of the base kinds and the model of ordinary tokens, from bounded samples with the smallest hashes."""
     pick = lambda p, g, kind: F.transform(
         F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     )
+    # ordinary: what is left without the labelled credentials, where no letter touches a digit
+    rest = F.regexp_replace("text", ASSIGN, " ")
+    plain = F.filter(F.regexp_extract_all(rest, F.lit(CANDIDATE), F.lit(0)), lambda v: ~v.rlike("[A-Za-z][0-9]|[0-9][A-Za-z]"))
     tagged = F.concat(
         pick(ASSIGN, 1, "assign"), pick("AKIA[A-Z0-9]{14,}", 0, "access"), pick("[0-9a-f]{16,}", 0, "hex"),
-        pick(r"\b[a-zA-Z]{16,}", 0, "word"),
+        F.transform(plain, lambda v: F.struct(F.lit("word").alias("kind"), v.alias("value"))),
     )
-    found = docs.select(F.explode(tagged).alias("x")).select("x.kind", F.substring("x.value", 1, LONGEST).alias("value"))
+    found = docs.select(F.explode(tagged).alias("x")).select("x.kind", F.substring("x.value", 1, LONGEST + 1).alias("value"))
     found = found.filter((F.col("kind") != "assign") | (F.length("value") >= LEAST["assign"]))
-    # the smallest hashes of each kind: partial sets of bounded size in each task, whole ones at the end
-    least = F.expr("min(struct(xxhash64(value) as h, value))")
+    # the smallest hashes of each kind: partial sets of bounded size in each task, whole ones at the end; ordinary tokens
+    # come back in other places, which bare keys do not, so tokens seen once stand in only where none is seen twice
+    found = found.groupBy("kind", "value").agg((F.count("*") < 2).alias("once"))
+    once = F.when(F.col("kind") == "word", F.col("once")).otherwise(False)
+    least = F.min(F.struct(once.alias("once"), F.xxhash64("value").alias("h"), "value"))
     found = found.groupBy("kind", F.pmod(F.xxhash64("value"), F.lit(sample)).alias("slot")).agg(least.alias("m"))
     strings: dict[str, list[str]] = defaultdict(list)
-    for row in found.select("kind", "m.value").collect():
-        strings[row.kind].append(row.value)
+    rows = found.select("kind", "m.value", "m.once").collect()
+    repeated = any(r.kind == "word" and not r.once for r in rows)
+    for row in rows:
+        if not (row.once and repeated):
+            strings[row.kind].append(row.value)
     strings = {k: sorted(v) for k, v in strings.items()}
     automata = [infer([classes(v) for v in strings[k]]) for k in KINDS[:3] if strings.get(k)]
     return {"automata": automata, "ordinary": bigrams([classes(v) for v in strings.get("word", [])])}
@@ -191,16 +220,15 @@ def spans_of(text: str, model: dict, patterns, memo: dict, least_ratio: float) -
     if model["automata"]:
         base = list(out)
         for m in candidate.finditer(text):
-            token = m[0]
-            if any(a <= m.start() and m.end() <= b for a, _, b in base):
+            run, at = m[0], m.start()
+            if any(a <= at and m.end() <= b for a, _, b in base):
                 continue
-            if token not in memo:
+            if run not in memo:
                 if len(memo) > 100_000:
                     memo.clear()
-                mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and len(set(token)) >= 8
-                memo[token] = mixed and ratio(token, model["automata"], model["ordinary"]) >= least_ratio
-            if memo[token]:
-                out.append((m.start(), 3, m.end()))
+                memo[run] = format_spans(run, model, least_ratio)
+            spans = [(at + a, at + b) for a, b in memo[run]]
+            out += [(a, 3, b) for a, b in spans if not any(x <= a and b <= y for x, _, y in base)]
     return sorted(out)
 
 

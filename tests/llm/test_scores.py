@@ -161,6 +161,30 @@ def test_automata_add_formats(spark):
     assert back[80].text == "bare [SECRET] here" and back[80].n_chars == len(back[80].text) and back[81].text == texts[81]
 
 
+def test_every_candidate_is_scored_to_its_end(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda of, n: "".join(rng.choice(list(of), n))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {
+        "short": lambda: "k" + draw(upper + digits, 12), "letters": lambda: "zz" + draw(upper, 18),
+        "dotted": lambda: f"{draw(digits, 4)}.{draw(upper, 6)}.{draw(digits, 4)}", "long": lambda: "Y" + draw(upper + digits, 99),
+    }
+    prose = "international telecommunications 1700000000000 and well-established/non-governmental misunderstandings."
+    for make in kinds.values():
+        texts = [f"token: {make()} {prose}" for _ in range(120)] + [f"bare {make()} here", f"at the end {make()}.", prose, f"bare {make()}{draw(upper, 400)} here"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+        n = len(make())
+        assert found[120] == f"format:5:{5 + n}" and found[121] == f"format:11:{11 + n}" and found[122] == ""
+
+
+def test_the_end_counts():
+    automata = [secrets.infer([secrets.classes("Q" + "7" * 15)] * 100)]
+    ordinary = secrets.bigrams([secrets.classes("ordinarywords")])
+    whole, less = (secrets.ratio("Q" + "7" * n, automata, ordinary) for n in (15, 12))
+    assert whole > less and secrets.ratio("Q" + "7" * 15 + "x" * 80, automata, ordinary) == float("-inf")
+
+
 def test_secrets_of_nothing(empty):
     assert secrets.scan(empty).collect() == [] and secrets.redact(empty).collect() == []
 
