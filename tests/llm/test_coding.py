@@ -64,7 +64,9 @@ def test_packing_round_trip(top):
         ids[::3] = 0
         words, offsets, escapes = token_files.pack(ids)
         assert (token_files.unpack(words, offsets, escapes, n) == ids).all()
-        counts, back = token_files.decode_segment(token_files.encode_segment(np.array([n]), ids))
+        data = token_files.encode_segment(np.array([7]), np.array([n % 2 == 0]), np.array([n]), ids)
+        stop, names, valid, counts, back = token_files.decode_segment(b"x" * 8 + data, 8)
+        assert stop == len(data) + 8 and names.tolist() == [7] and valid.tolist() == [n % 2 == 0]
         assert counts.tolist() == [n] and (back == ids).all()
 
 
@@ -72,34 +74,62 @@ def test_small_ids_take_few_words():
     assert len(token_files.pack(np.zeros(1020, np.uint64))[0]) == 17
 
 
-def test_token_files(docs, rows, spark):
+def plain_ids(path):
     from tokenizers import Tokenizer
 
-    path = tokenizers_dir.path(token_files.VOCABULARY)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    segments = token_files.write_tokens(docs, path, shards=3)
-    found = token_files.read_tokens(segments).collect()
-    want = {}
-    for i, t, *_ in rows:
-        want.setdefault(i, []).append([*tok.encode(t or "", add_special_tokens=False).ids, token_files.END])
-    for r in found:
-        assert (r.n_tokens, r.ids_crc32) in [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want[r.doc_id]]
-    found.sort(key=lambda r: r.start)
-    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
-    order = [r.doc_id for r in found]
-    assert order == sorted(order, key=lambda i: (i is None, i or 0)) and len(order) == len(rows)
+    return lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, token_files.END]
+
+
+def test_token_files(docs, rows, spark, monkeypatch):
+    path = tokenizers_dir.path(token_files.VOCABULARY)
+    encode = plain_ids(path)
+    found = token_files.read_tokens(spark, *token_files.write_tokens(docs, path, shards=3)).collect()
+    want, start = [], 0
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = encode(t)
+        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == want
 
 
-def test_special_strings_are_text():
-    enc = token_files.Encoder(tokenizers_dir.path(token_files.VOCABULARY), 2)
-    ids, counts = enc.encode(["<|endoftext|> a b", "", "a  b", "a b\n\nc d ", "a b"])
-    assert counts.sum() == len(ids) and 50256 not in ids and ids[-1] == 2
+def test_small_files_and_segments(docs, rows, spark, monkeypatch):
+    path = tokenizers_dir.path(token_files.VOCABULARY)
+    whole = sorted(map(tuple, token_files.read_tokens(spark, *token_files.write_tokens(docs, path)).collect()), key=str)
+    for name, value in (("SEGMENT_IDS", 500), ("FILE_BYTES", 2000), ("TEXT_BYTES", 1000)):
+        monkeypatch.setitem(token_files.write_tokens.__globals__, name, value)
+    folder, index = token_files.write_tokens(docs, path, shards=2)
+    assert index.count() > 4  # values travel with the task's function
+    assert sorted(map(tuple, token_files.read_tokens(spark, folder, index).collect()), key=str) == whole
+
+
+def test_query_of_token_files(tmp_path, docs, rows, spark):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    encode = plain_ids(tokenizers_dir.path(token_files.VOCABULARY))
+    found = token_files.op6_token_files(spark, str(tmp_path)).collect()
+    want = [(str(i), len(encode(t)), zlib.crc32(np.array(encode(t), "<u4").tobytes())) for i, t, *_ in rows]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in found) == sorted(want)
 
 
-def test_tokens_of_nothing(empty):
+def test_ids_are_those_of_the_plain_call():
+    import pyarrow as pa
+
+    path = tokenizers_dir.path(token_files.VOCABULARY)
+    enc, encode, rng = token_files.Encoder(path, 2), plain_ids(path), random.Random(1)
+    parts = ["a", "b'", "'s", "é", "ß", "×", "\n", " ", "  ", ".", "!?", "1", "½", "\u00a0", "\u3000", "\x1c", "\0", "<|endoftext|>", "日本", "it's",
+             "Ġ", "İ", "\t", "\r\n", "x.y", ";", " z", " word", " the"]
+    texts = [None, "", "a <|endoftext|> b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for some in (texts, texts[:1], []):
+        ids, counts = enc.encode(pa.array(some, pa.string()))
+        ends = np.cumsum(counts)
+        assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == [encode(t) for t in some]
+    ids, _ = token_files.Encoder(path, 2, special_as_text=True).encode(pa.array(["a <|endoftext|> b"]))
+    assert 50256 not in ids and 50256 in encode("a <|endoftext|> b")
+
+
+def test_tokens_of_nothing(empty, spark):
     path = tokenizers_dir.path(token_files.VOCABULARY)
-    assert token_files.read_tokens(token_files.write_tokens(empty, path)).collect() == []
+    assert token_files.read_tokens(spark, *token_files.write_tokens(empty, path)).collect() == []
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="menu-open"><header>H</header><nav><ul><li>n</ul></nav>
