@@ -54,7 +54,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scan_partitions(spark: SparkSession) -> int:
-    """Partitions for a shuffle of whole texts: the session's own setting, never under twice its cores."""
+def scan_partitions(spark: SparkSession, data: DataFrame | None = None, bytes_each: int = 64 << 20) -> int:
+    """Partitions for a shuffle of whole texts: one for each ``bytes_each`` of the plan's own size estimate, never fewer than
+    the session's setting or twice its cores. Sizes that the plan does not know are no ground for more."""
     own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(own, 2 * spark.sparkContext.defaultParallelism)
+    least = max(own, 2 * spark.sparkContext.defaultParallelism)
+    size = int(str(data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if data is not None else 0
+    return max(least, -(-size // bytes_each)) if size < 1 << 50 else least

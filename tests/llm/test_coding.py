@@ -26,7 +26,7 @@ def test_long_units_and_spaces(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizers_dir.path(pieces.MODEL))
-    texts = ["a" * 500, "=" * 130, "   lead and  double   ", "\n\n\t x", "日本語 und ß 𝒳", "x" * 61 + " " + "y" * 60]
+    texts = ["▁ ▁x▁▁y", " ", "  ", "a\u2581 b", "\0 x \0", "�", "a" * 500, "=" * 130, "   lead and  double   ", "\n\n\t x", "日本語 und ß 𝒳", "x" * 61 + " " + "y" * 60]
     found = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces.default_vocabulary())
     assert {r.doc_id: r.ids for r in found.collect()} == {k: sp.encode(t) for k, t in enumerate(texts)}
 
@@ -52,6 +52,30 @@ def test_viterbi_against_brute_force(spark):
             assert sum(score[names[i]][1] for i in r.ids) == pytest.approx(best(r.unit)) and "".join(names[i] for i in r.ids) == r.unit
 
 
+def test_very_long_units_take_no_quadratic_time():
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizers_dir.path(pieces.MODEL))
+    v, rng = pieces.default_vocabulary(), random.Random(3)
+    for text in ["".join(rng.choice("aeinrst") for _ in range(3000)), "ab" * 700, "aaa", "e"]:
+        assert pieces.encode_unit(pieces.normal(text), v) == sp.encode(text)
+    start = time.process_time()
+    assert len(pieces.encode_unit("a" * 200_000, v)) > 0
+    assert time.process_time() - start < 20
+
+
+def test_query_of_pieces(tmp_path, docs, rows, spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizers_dir.path(pieces.MODEL))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = pieces.op5_sentencepiece(spark, str(tmp_path)).collect()
+    want = [(str(i), len(e), zlib.crc32(np.array(e, "<i4").tobytes()), True) for i, e in ((r[0], sp.encode(r[1] or "")) for r in rows)]
+    assert sorted((str(r.doc_id), r.n_pieces, r.ids_crc32, r.text_back) for r in found) == sorted(want)
+
+
 def test_pieces_of_nothing(empty):
     assert pieces.encode(empty, pieces.default_vocabulary()).collect() == []
 
