@@ -195,3 +195,42 @@ def test_pages(spark):
     article = "Ti&tle\nOne two three\ncafé x y\na\nb"
     assert text[4, True] == text[6, True] == text[7, True] == article and text[5, False] == ""
     assert html_text.extract(pages.filter("page_id = 99")).collect() == []
+
+
+def test_loose_lines_of_an_article_and_copies(spark):
+    page = lambda x: f"<main><h1>{x}</h1><p>Common passage.</p><div>Sign up here</div><p>{x} text</p><p><a href='#'>Back to top</a></p></main>"
+    rows = [(1, "http://h.com/a/1", page("A")), (2, "http://h.com/a/2", page("B")), (3, "http://h.com/a/2", page("B")), (4, "http://c.com/x", page("C")),
+            (5, "http://c.com/y", page("C")), (6, "http://alone.com/x", page("D"))]
+    found = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    short = lambda x: f"{x}\nCommon passage.\n{x} text"
+    whole = lambda x: f"{x}\nCommon passage.\nSign up here\n{x} text\nBack to top"
+    assert [found[k].text for k in (1, 2, 3)] == [short("A"), short("B"), short("B")] and found[1].n_shared == 2
+    assert [found[k].text for k in (4, 5, 6)] == [whole("C"), whole("C"), whole("D")]
+
+
+def test_pages_that_differ_by_query_alone(spark):
+    page = lambda x: f"<body><div>Menu line</div><p>{x}</p><div>Bottom line</div></body>"
+    rows = [(k, f"http://q.com/index.php?id={k}", page(f"text {k // 2}")) for k in range(8)]
+    rows += [(9, "http://one.com/p?ref=a", page("same")), (10, "http://one.com/p?ref=b", page("same"))]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[k] for k in range(8)] == [f"text {k // 2}" for k in range(8)]
+    assert found[9] == found[10] == "Menu line\nsame\nBottom line"
+
+
+def test_nearest_tie_and_host():
+    own = ("h", "/b/5", 1)
+    assert html_text.nearest(own, ("h", "/b/4", 2), ("h", "/b/6", 3)) == 2  # a tie: the one before
+    assert html_text.nearest(own, ("h", "/a", 2), ("h", "/b/6", 3)) == 3
+    assert html_text.nearest(own, ("g", "/b/4", 2), None) is None
+
+
+def test_given_pages_hold_given_documents(spark):
+    """Every given page carries one given document: its text, behind the heading, is that document's whole text."""
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no given tables")
+    texts = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = html_text.op1_html_extraction(spark, folder).collect()
+    assert found and all(" ".join(r.text.split("\n")[1:]) in texts for r in found)
