@@ -1,34 +1,38 @@
 """N-gram Jaccard self-join by MinHash banding.
 
-Documents are sets of hashed 5-word shingles (a text of one to four words is one shingle; a blank text has none and no
-links).  Texts with equal sets form one copy class and are compared once.  ``bands`` of ``rows`` minima each give every
-class its band hashes; band and row counts are chosen for the target recall at the threshold.  Classes that share a band
-hash are joined to the smallest class with that hash: a star, never all pairs.  The stars' connected components are the
-candidate groups.  Inside a group every pair is verified once on the full shingle sets, in tiles of bounded size; a tile
-returns each class's number of links and a spanning forest of the links, not the links.  The forests' components are the
-classes of the result.
+Documents are the rows of the table: sets of hashed 5-word shingles (a text of one to four words is one shingle; a blank
+text has none and no links).  Texts with equal sets form one copy class and are compared once.  ``bands`` of ``rows``
+minima each give every class its band hashes; band and row counts are chosen for the target recall at the threshold.
+Classes that share a band hash are joined to the smallest class with that hash: a star, never all pairs.  The stars'
+connected components are the candidate groups.  In a group of at most ``tile`` classes every pair is verified once on the
+full shingle sets.  A larger group, which may be a chain of unlike texts, is verified bucket by bucket: classes with a
+common band hash, large buckets in tiles of bounded size, and each pair in the first band that it shares.  A tile returns each
+class's number of links and a spanning forest of the links, not the links.  The forests' components are the classes of
+the result.
 
 Result: doc_id, class_id (smallest doc_id of its linked documents, its own if none), n_links (other documents with
 Jaccard similarity of the threshold or more, copies included).
 
-Scale: shuffles carry the texts once, a row for each class and band, a row for each star edge, and the shingle hashes
-of classes in candidate groups (a class goes to one tile for each chunk of its group).  Nothing but counts reaches the
-driver.  Stars through a hot hash are pre-aggregated minima; components come from the alternating star algorithm whose
-tables are written to the shared folder.  Counting the links of a group of g different, similar texts takes g * g / 2
-verifications, spread over tiles; copies are free.
+Scale: shuffles carry a row for each document and for each class and band, a row for each star edge, and the texts of
+classes in candidate groups (once in a small group; once for each shared band hash and chunk in a large one).  Nothing
+but counts reaches the driver.  Stars through a hot hash are pre-aggregated minima; components come from the alternating
+star algorithm whose tables are written to the shared folder, and deleted when the next ones are there.  Counting the
+links of g different, similar texts takes g * g / 2 verifications (up to once a shared band in a large group), spread over
+tiles; copies are free.
 
-Edge cases: null text is blank; rows with equal doc_id are one document for the class and separate rows for counts;
-null ids are kept, with a null class and no links; an empty table gives no rows; other columns are ignored.
+Edge cases: null text is blank; rows with equal doc_id are separate documents, and so are rows with a null one (their
+class_id is the smallest id among their links, null if there is none); an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read, written
+from .shared import forget, read, written
 from .wordhash import buffers, hashed, mix, ngrams, slices, word_bounds
 
 SHINGLE, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 6
@@ -94,11 +98,11 @@ def signatures(found: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
     return out
 
 
-SIGNED = "doc_id long, copy binary, size int, bands array<long>"
+SIGNED = "doc_id long, digest binary, copy binary, bands array<long>"
 
 
 def sign(batches, bands: int, rows: int, n: int):
-    """Of each document: the identity of its shingle set, its size, its band hashes (both null without shingles)."""
+    """Of each document: its text's digest, the identity of its shingle set, its band hashes (both null without shingles)."""
     for batch in (part for whole in batches for part in slices(whole, "text")):
         found, first = shingle_sets(batch.column("text"), n)
         sizes = np.diff(first)
@@ -115,11 +119,11 @@ def sign(batches, bands: int, rows: int, n: int):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()),
+                batch.column("digest").cast(pa.binary()),
                 pa.array([b.tobytes() if h else None for b, h in zip(both, has)], pa.binary()),
-                pa.array(sizes.astype(np.int32)),
                 lists,
             ],
-            names=["doc_id", "copy", "size", "bands"],
+            names=["doc_id", "digest", "copy", "bands"],
         )
 
 
@@ -135,11 +139,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # large star: a node's larger neighbours go to its smallest one
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
-        e = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        forget(e, least)
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = written(e.groupBy("a").agg(F.min("b").alias("m")), name)
-        rest = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        rest = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = written(rest.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        forget(large, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -178,8 +184,11 @@ def common_counts(left: np.ndarray, right: np.ndarray, column: np.ndarray, row:
     return common
 
 
-def verify_group(node, weight, side, found, first, similarity: float):
-    """(links of each class, spanning forest) of one group, or of one chunk of it against another."""
+def verify_group(node, weight, side, found, first, similarity: float, earlier: np.ndarray | None = None):
+    """(links of each class, spanning forest) of one group, or of one chunk of it against another.
+
+    ``earlier`` has the classes' hashes of bands before that of the group: pairs that share one are counted there.
+    """
     sizes = np.diff(first)
     column = np.unique(found, return_inverse=True)[1]
     left = np.flatnonzero(side == 0)
@@ -188,6 +197,8 @@ def verify_group(node, weight, side, found, first, similarity: float):
     share = round(100 * similarity)  # common / (union) >= share / 100, in whole numbers
     hit = (100 + share) * common >= share * (sizes[left][:, None] + sizes[right][None, :])
     hit &= node[left][:, None] != node[right][None, :]
+    for band in earlier if earlier is not None else ():
+        hit &= band[left][:, None] != band[right][None, :]
     links = np.zeros(len(node), np.int64)
     links[left] += hit @ weight[right]
     if right is not left:
@@ -206,16 +217,18 @@ CHECKED = "a long, b long, links long"
 
 
 def verify(table: pa.Table, similarity: float, n: int) -> pa.Table:
-    """Rows (class, null, links) and (class, class, 0) of several small groups, or of one tile of a large group."""
-    table = table.sort_by([("root", "ascending"), ("side", "ascending"), ("node", "ascending")])
-    root, node = table["root"].to_numpy(), table["node"].to_numpy()
+    """Rows (class, null, links) and (class, class, 0) of several small groups, or of one tile of a large bucket."""
+    table = table.sort_by([("root", "ascending"), ("band", "ascending"), ("side", "ascending"), ("node", "ascending")])
+    root, node, band = table["root"].to_numpy(), table["node"].to_numpy(), table["band"].to_numpy()
     weight, side = table["weight"].to_numpy(), table["side"].to_numpy()
     found, first = shingle_sets(table["text"], n)
-    begin = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(root) else []
+    fresh = (root[1:] != root[:-1]) | (band[1:] != band[:-1])
+    begin = np.flatnonzero(np.concatenate([[True], fresh])) if len(root) else []
     a, b, links = [], [], []
     for lo, hi in zip(begin, [*begin[1:], len(root)]):
         own = found[first[lo] : first[hi]]
-        got, forest = verify_group(node[lo:hi], weight[lo:hi], side[lo:hi], own, first[lo : hi + 1] - first[lo], similarity)
+        earlier = np.array(table["bands"][lo:hi].to_pylist(), np.int64).T[: band[lo]] if band[lo] > 0 else None
+        got, forest = verify_group(node[lo:hi], weight[lo:hi], side[lo:hi], own, first[lo : hi + 1] - first[lo], similarity, earlier)
         some = np.flatnonzero(got)
         a += [*node[lo:hi][some].tolist(), *(x for x, _ in forest)]
         b += [*[None] * len(some), *(y for _, y in forest)]
@@ -223,55 +236,93 @@ def verify(table: pa.Table, similarity: float, n: int) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", a), ("b", b), ("links", links))})
 
 
-def ngram_join(
+def digest(text: Column) -> Column:
+    """16 bytes that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")
+
+
+def classify(
     docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, recall: float = RECALL, rows: int = ROWS, tile: int = TILE
-) -> DataFrame:
-    """doc_id, class_id, n_links: one row per input row."""
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, copy) of the documents, and for each copy class its result: copy, root, class_id, n_links and
+    the row that stands for the class (keep_id, keep_digest)."""
     bands = bands_for(similarity, recall, rows)
-    signed = docs.select("doc_id", "text").mapInArrow(lambda it: sign(it, bands, rows, n), SIGNED)
-    signed = written(signed, "ngram-signed")
-    # a copy class: its smallest id stands for it
-    known = signed.filter("copy is not null and doc_id is not null")
-    classes = known.groupBy("copy").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
-    classes = written(classes, "ngram-classes")
-    member = known.select("doc_id", "copy").join(classes.select("copy", "node", "weight"), "copy").select("doc_id", "node", "weight")
-    banded = classes.select("node", F.posexplode("bands").alias("band", "hash")).distinct()
-    hub = banded.groupBy("band", "hash").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
-    hub = written(hub.drop("top"), "ngram-hubs")
+    texts = docs.select("doc_id", "text", digest(F.col("text")))
+    signed = written(texts.mapInArrow(lambda it: sign(it, bands, rows, n), SIGNED), "ngram-signed")
+    # a copy class: the row with its smallest id stands for it, rows without id come last
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
+    classes = signed.filter("copy is not null").groupBy("copy").agg(best, F.count("*").alias("weight"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    banded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
+    hub = banded.groupBy("band", "hash").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.count("*").alias("size"))
+    hub = written(hub.filter("b < top").drop("top"), "ngram-hubs")
     stars = banded.join(hub, ["band", "hash"]).filter("node <> b").select(F.col("node").alias("a"), "b")
     groups = components(stars, "ngram-groups")
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
-    # chunks of about ``tile`` classes of a group, by hash; every two chunks are a tile, and small groups share one
     sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")), "ngram-sizes")
-    dealt = groups.join(sizes, "root").join(classes.groupBy("node").agg(F.sum("weight").alias("weight")), "node")
-    dealt = dealt.select("node", "root", "weight", F.ceil(F.col("size") / tile).cast("int").alias("chunks"))
-    dealt = written(dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "ngram-dealt")
+    dealt = groups.join(sizes, "root").join(classes.select("node", "weight", "best", "bands"), "node")
+    dealt = written(dealt, "ngram-dealt")
+    small, large = dealt.filter(F.col("size") <= tile), dealt.filter(F.col("size") > tile)
     packs = max(1, -(-dealt.count() // tile))
-    body = docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
-    body = body.groupBy("node", "root", "weight", "chunk", "chunks").agg(F.min("text").alias("text"))
-    body = body.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    none = F.lit(0)
+    small = small.select(
+        "best", F.pmod(F.xxhash64("root"), F.lit(packs)).alias("pack"), F.lit(-1).alias("tile"), "root", F.lit(-1).alias("band"),
+        "node", "weight", none.alias("side"), F.lit(None).cast("array<long>").alias("bands"),
+    )
+    # a large group's buckets: chunks of about ``tile`` classes, every two of them a tile; small buckets share one
+    bucket = large.select("node", "weight", "best", "bands", F.posexplode("bands").alias("band", "hash"))
+    bucket = bucket.join(hub.select("band", "hash", "size"), ["band", "hash"])
+    bucket = bucket.withColumn("chunks", F.ceil(F.col("size") / tile).cast("int"))
+    bucket = bucket.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    bucket = bucket.withColumn("other", F.explode(F.sequence(none, F.col("chunks") - 1)))
     alone, i, j = F.col("chunks") == 1, F.least("chunk", "other"), F.greatest("chunk", "other")
-    placed = body.select(
-        F.when(alone, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("pack"),
-        F.when(alone, -1).otherwise(i * F.col("chunks") + j).alias("tile"),
-        "root", "node", "weight", "text", (F.col("chunk") > F.col("other")).cast("int").alias("side"),
+    bucket = bucket.select(
+        "best", F.when(alone, F.pmod(F.xxhash64("hash", "band"), F.lit(packs))).otherwise(F.xxhash64("hash", "band")).alias("pack"),
+        F.when(alone, -2 - F.col("band")).otherwise((F.col("band") * F.col("chunks") + i) * F.col("chunks") + j).alias("tile"),
+        F.col("hash").alias("root"), "band", "node", "weight", (F.col("chunk") > F.col("other")).cast("int").alias("side"), "bands",
     )
+    # one text for each class: rows that are equal in id and text are one here
+    asked = dealt.select("node", F.col("best.doc_id").alias("own"), F.col("best.digest").alias("digest"))
+    body = texts.join(asked, (texts["doc_id"].eqNullSafe(asked["own"])) & (texts["digest"] == asked["digest"])).select("node", "text")
+    body = written(body.groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
+    placed = small.drop("best").unionByName(bucket.drop("best")).join(body, "node")
     checked = placed.groupBy("pack", "tile").applyInArrow(lambda t: verify(t, similarity, n), CHECKED)
     checked = written(checked, "ngram-checked")
     links = checked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     linked = components(checked.filter("b is not null").select("a", "b"), "ngram-linked")
-    found = links.join(linked, "node", "full")
-    per_class = member.join(written(found, "ngram-found"), "node", "left").select(
-        "doc_id", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
-    )
-    rest = signed.filter("copy is null or doc_id is null")
-    return per_class.union(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    linked = written(linked.union(linked.select(F.col("root").alias("node"), "root").distinct()), "ngram-roots")
+    heads = classes.join(linked, "node").groupBy("root").agg(F.min("best").alias("head"))
+    found = linked.join(heads, "root").join(links, "node", "left")
+    result = classes.select("copy", "node", "weight", "best").join(written(found, "ngram-found"), "node", "left")
+    head = F.coalesce("head", "best")
+    return signed.select("doc_id", "digest", "copy"), written(result.select(
+        "copy", F.coalesce("root", "node").alias("root"), head["doc_id"].alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        head["doc_id"].alias("keep_id"), head["digest"].alias("keep_digest"),
+    ), "ngram-result")
+
+
+def ngram_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links: one row per input row."""
+    rows, result = classify(docs, **options)
+    found = rows.filter("copy is not null").join(result, "copy").select("doc_id", "class_id", "n_links")
+    rest = rows.filter("copy is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.union(rest)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (that with the smallest id), with the columns it came with."""
-    gone = ngram_join(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group of near copies, with the columns it came with: that with the smallest id (null ids last),
+    then the smallest digest; of rows equal in id and text any one. Blank texts have no copies and stay."""
+    rows, result = classify(docs)
+    judged = rows.filter("copy is not null").join(result, "copy")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    keys = judged.groupBy("doc_id", "digest").agg(F.first(stays).alias("stays"), F.count("*").alias("times"))
+    keys = written(keys.filter("not stays or times > 1").select(F.col("doc_id").alias("own"), F.col("digest").alias("d"), "stays"), "ngram-gone")
+    tagged = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    same = tagged["doc_id"].eqNullSafe(keys["own"]) & (tagged["__digest"] == keys["d"])
+    once = tagged.join(keys, same, "left_anti")
+    again = tagged.join(keys.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return once.union(again).drop("__digest")
 
 
 def op10_ngram_join(spark, sf_dir):

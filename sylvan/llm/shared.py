@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None:
         found = spark.conf.get("sylvan.shared.dir", None)
         if found is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
             spark.conf.set("sylvan.shared.dir", found)
     return found.rstrip("/")
@@ -36,7 +38,17 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

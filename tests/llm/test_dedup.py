@@ -44,7 +44,8 @@ def test_substrings_of_nothing(empty):
     assert substring_dedup.dedup_substrings(empty).collect() == []
 
 
-def linked(rows):
+def grouped(rows):
+    """(number, id, links, group) of each row."""
     rows = [(k, i, shingles(t)) for k, (i, t, *_) in enumerate(rows)]
     links, parent = {k: 0 for k, *_ in rows}, {}
 
@@ -55,12 +56,17 @@ def linked(rows):
 
     for a, (k, i, s) in enumerate(rows):
         for m, j, t in rows[:a]:
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
                 links[k] += 1
                 links[m] += 1
-                x, y = top(i), top(j)
-                parent[max(x, y)] = min(x, y)
-    return sorted(((i, None if i is None else top(i), links[k]) for k, i, _ in rows), key=str)
+                parent[top(k)] = top(m)
+    return [(k, i, links[k], top(k)) for k, i, _ in rows]
+
+
+def linked(rows):
+    found = grouped(rows)
+    least = {g: min((i for _, i, _, h in found if h == g and i is not None), default=None) for *_, g in found}
+    return sorted(((i, least[g], n) for _, i, n, g in found), key=str)
 
 
 @pytest.mark.parametrize("tile", [2048, 2])
@@ -89,11 +95,48 @@ def test_join_of_nothing(empty):
     assert ngram_join.ngram_join(empty).collect() == []
 
 
+def test_rows_of_equal_ids_keep_their_links(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " z"), (3, text("b") + " z"), (5, text("a")), (5, text("a")), (None, text("b")), (None, text("c"))]
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=str)
+    assert got == linked(rows)
+    assert (2, 1, 3) in got and (3, 1, 2) in got and (None, None, 0) in got and (None, 1, 2) in got
+
+
+def test_a_chain_of_unlike_texts(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(4 * k, 4 * k + 50))) for k in range(30)]
+    for tile in (2048, 8, 3):
+        found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
+        assert sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=str) == linked(rows)
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    classes = {i: c for i, c, _ in linked(rows)}
-    assert {r.doc_id for r in kept.collect()} == {i for i in classes if classes[i] == i}
+    found = grouped(rows)
+    first = {}
+    for k, i, _, g in sorted(found, key=lambda r: (r[1] is None, r[1] or 0)):
+        first.setdefault(g, k)  # blank texts are groups of their own
+    want = sorted((str(rows[k][0]), str(rows[k][1])) for k in first.values())
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want
+
+
+def test_one_of_equal_rows_stays(spark, empty):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(5, text, "x"), (5, text, "y"), (None, text, "x"), (None, text, "y"), (7, "", "x"), (7, "", "x"), (None, None, "x")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, bands string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("5", text)]
+    assert len(kept) == 4  # blank ones have no copies
+    nulls = ngram_join.keep_one(spark.createDataFrame(rows[2:4], "doc_id long, text string, bands string")).collect()
+    assert len(nulls) == 1
+    assert ngram_join.keep_one(empty).collect() == []
+
+
+def test_query_of_the_join(tmp_path, docs, rows, spark):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = ngram_join.op10_ngram_join(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=str) == linked(rows)
 
 
 def test_bands_reach_the_recall():
