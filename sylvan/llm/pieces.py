@@ -338,10 +338,13 @@ def units_of(texts: pa.Array, cutter: Cutter):
     words, counts, numbers = words_of(texts)
     units, first, sizes = cutter.cut(words)
     coded = units.dictionary_encode()
-    place = coded.indices.to_numpy()
-    size = np.zeros(len(coded.dictionary), np.int64)
+    order = pc.sort_indices(coded.dictionary).to_numpy()  # in order, so that shuffled rows compress well
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[coded.indices.to_numpy()]
+    size = np.zeros(len(order), np.int64)
     size[place] = sizes
-    return coded.dictionary, size, place, first, counts, numbers
+    return coded.dictionary.take(pa.array(order)), size, place, first, counts, numbers
 
 
 RESULT = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, text_back boolean"
