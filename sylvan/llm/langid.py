@@ -5,12 +5,14 @@ with its ends marked: the longest n of which any n-gram is known decides, each s
 document's score is the posterior of its summed word scores under equal priors.
 
 Training reads the text and non-null language of at most ``sample`` training documents (those with the smallest hashes
-of the text; production bound: SAMPLE) and keeps at most WORDS words and GRAMS n-grams of each length for each language,
-the most frequent ones, ties by the text itself; so the model has a proven size bound and does not depend on how rows are
-partitioned.  It is broadcast once.  The prediction is one pass over whole texts in Arrow batches, without a shuffle:
+of text and doc_id; production bound: SAMPLE) and keeps at most ``words`` words and ``grams`` n-grams of each length for
+each language, those of the highest counts (equal counts stay or go together); so the model has a proven size bound and
+does not depend on how rows are partitioned.  None for either keeps all that the sample has.  It is broadcast once.  The prediction is one pass over whole texts in Arrow batches, without a shuffle:
 word vectors are gathered from one matrix, unseen words of a batch are scored together and kept in a bounded memo.
 
-Edge cases: null text or text without a letter gives ``und`` and score 0; with nothing to learn from, every document is
+Letters are the Unicode categories L*, in training and prediction alike: numerals such as ½, ² or Ⅷ are none.
+
+Edge cases: null text or text without a letter gives ``und`` and score 0; equal scores go to the first language by name; with nothing to learn from, every document is
 ``und``; a null doc_id counts as not held out and not for training; repeated rows each get their result; an empty table
 gives no rows; other columns, lang and source included, are no input of a prediction.
 """
@@ -18,6 +20,8 @@ gives no rows; other columns, lang and source included, are no input of a predic
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,15 @@ from .wordhash import slices
 SAMPLE, WORDS, GRAMS, LONGEST = 20_000, 20_000, 8_000, 5
 DISCOUNT = 0.7
 MEMO = 300_000
-LETTERS = r"[^\W\d_]+"
+
+
+@cache
+def letters() -> re.Pattern:
+    """Runs of letters: word characters without digits, underscore and the numerals that count as word characters."""
+    other = (chr(c) for c in range(0x110000))
+    numerals = "".join(c for c in other if c.isalnum() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
+    return re.compile(rf"[^\W\d_{re.escape(numerals)}]+")
+
 
 
 def remainder(doc_id: Column) -> Column:
@@ -41,7 +53,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder(doc_id) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, sample: int = SAMPLE, words: int | None = WORDS, grams: int | None = GRAMS) -> dict:
     """Languages, and for words (n = 0) and n-grams their row in a matrix of log frequencies by language."""
     usable = docs.filter((remainder(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64("text", "doc_id")
@@ -49,21 +61,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     if bound is None:
         return {"langs": [], "rows": {}, "matrix": np.zeros((0, 0), np.float32), "floor": None}
     chosen = usable.filter(order <= bound).select("lang", "text")
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    words = written(words.groupBy("lang", "w").agg(F.count("*").alias("n")), "langid-words")
+    found = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    found = written(found.groupBy("lang", "w").agg(F.count("*").alias("n")), "langid-words")
     marked = F.concat(F.lit("^"), "w", F.lit("$"))
-    grams = words.select("lang", "n", marked.alias("m"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k"))
-    grams = grams.filter(F.length("m") >= F.col("k")).select(
+    parts = found.select("lang", "n", marked.alias("m"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k"))
+    parts = parts.filter(F.length("m") >= F.col("k")).select(
         "lang", "n", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("m") - F.col("k") + 1), lambda i: F.substring("m", i, F.col("k")))).alias("w")
     )
-    grams = grams.groupBy("lang", "k", "w").agg(F.sum("n").alias("n"))
-    every = words.select("lang", F.lit(0).alias("k"), "w", "n").union(grams.select("lang", "k", "w", "n"))
+    parts = parts.groupBy("lang", "k", "w").agg(F.sum("n").alias("n"))
+    every = found.select("lang", F.lit(0).alias("k"), "w", "n").union(parts.select("lang", "k", "w", "n"))
     every = written(every, "langid-counts")
     total = every.groupBy("lang", "k").agg(F.sum("n").alias("total"))
     # the most frequent of each language and length: how many reach each count decides the least count that is kept
     steps = every.groupBy("lang", "k", "n").agg(F.count("*").alias("c"))
     above = F.sum("c").over(Window.partitionBy("lang", "k").orderBy(F.desc("n")))
-    most = F.when(F.col("k") == 0, WORDS).otherwise(GRAMS)
+    endless = 1 << 62
+    most = F.when(F.col("k") == 0, words or endless).otherwise(grams or endless)
     least = steps.withColumn("above", above).filter(F.col("above") <= most).groupBy("lang", "k").agg(F.min("n").alias("least"))
     kept = every.join(least, ["lang", "k"]).filter("n >= least").join(total, ["lang", "k"])
     kept = kept.select("lang", "k", "w", F.log(F.col("n") / F.col("total")).alias("log")).collect()
@@ -118,7 +131,8 @@ class Scorer:
         """(summed scores, number of words) of each text."""
         if len(self.row) > MEMO:
             self.reset()
-        split = [re.findall(LETTERS, t.lower()) for t in texts]
+        find = letters().findall
+        split = [find(t.lower()) for t in texts]
         counts = np.array([len(s) for s in split])
         row = self.row
         unseen = list(dict.fromkeys(w for s in split for w in s if w not in row))

@@ -1,16 +1,19 @@
 """Quality rules by robust multivariate outliers (native: DataFrame functions only).
 
 Base counts come from array expressions on each text, without exploding it.  A document that the base rules keep gets a
-vector of five transformed statistics (length, word length, shares of symbols, repeated words and capitals).  For each group of language and source a minimum-covariance-determinant estimate
-is fitted: start from the documents nearest to the median in median-absolute-deviation units, then concentration steps
-(mean and covariance of the kept share ``h``, Mahalanobis distance of all, keep the nearest share ``h`` again).  A
-document goes when its squared distance under the last estimate exceeds ``cut``.
+vector of five transformed statistics (length, word length, shares of symbols, repeated words and capitals).  For each
+group of language and source a minimum-covariance-determinant estimate is fitted from three starts: medians with
+median-absolute-deviation units, mean and covariance of all, and those of the half nearest to the medians.  From each start go
+concentration steps (distance of all, keep the nearest share ``h``, its mean and covariance) until the determinant
+falls no more; of the starts' estimates the one with the least determinant stays (ties: the first start).  A document goes
+when its squared Mahalanobis distance under that estimate exceeds ``cut``.
 
 Exactness and scale: features are integers (1/1024 units) and moments are integer sums, so the fit is the same however
 rows are partitioned.  Quantiles are exact over integers from a bounded range, so their buffers are bounded too, and all
 group statistics pre-aggregate in each task: a source with a third of all rows costs one row per task.  The text is read
-once; concentration steps read the narrow statistics that were written to the shared folder.  Model tables have one row
-for each group; Spark broadcasts them below its measured threshold, else it joins by shuffle and AQE splits hot groups.
+once; concentration steps read the narrow statistics that were written to the shared folder, for all starts that still
+fall at once.  Model tables have one row for each group and start; they are counted, broadcast up to BROADCAST_ROWS rows,
+and joined by shuffle beyond, where AQE splits hot groups.
 
 Edge cases: null text counts as empty (no words: base rules fail it); null language or source forms a group of its own;
 groups under ``min_group`` documents are pooled by language, then overall; with fewer documents than that the method
@@ -35,6 +38,8 @@ UNIT = 1024.0
 D2_MOST, D2_UNIT = 4096.0, 64.0
 #: The 1 - 1e-6 quantile of chi-square with five degrees of freedom.
 CUT = 35.9
+#: A step that lowers the determinant's logarithm by no more than this is the last; rows of a broadcast table.
+TOLERANCE, BROADCAST_ROWS = 1e-4, 50_000
 CONSISTENCY = 1.45  # covariance of all against that of the nearest 75 %, for five normal dimensions
 
 
@@ -125,7 +130,48 @@ def solved_distance() -> Column:
     return sum((y * y for y in ys[1:]), ys[0] * ys[0]) / F.lit(CONSISTENCY)
 
 
-def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_group: int = 60) -> tuple[DataFrame, DataFrame]:
+def counted(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows (of some hundred bytes each)."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def distance_units() -> Column:
+    return F.floor(F.least(solved_distance(), F.lit(D2_MOST)) * D2_UNIT).cast("long")
+
+
+def moments(inside: DataFrame) -> DataFrame:
+    """Factored mean and covariance of weighted vectors by key and start, with the logarithm of the determinant."""
+    d = len(FEATURES)
+    wide = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
+    sums = [F.sum("w").cast("double").alias("n")]
+    sums += [wide(F.col(f) * F.col("w")).alias(f"t{i}") for i, f in enumerate(FEATURES)]
+    both = list(combinations_with_replacement(range(d), 2))
+    sums += [wide(F.col(FEATURES[i]) * F.col(FEATURES[j]) * F.col("w")).alias(f"q{i}{j}") for i, j in both]
+    model = inside.groupBy("key", "start").agg(*sums)
+    model = model.withColumns({f"m{i}": F.col(f"t{i}") / F.col("n") for i in range(d)})
+    for i, j in both:
+        cov = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+        model = model.withColumn(pair(i, j), F.greatest(cov, F.lit(0.0)) + FLOORS[i] if i == j else cov)
+    return with_determinant(factored(model)).select("key", "start", "n", "logdet", *PARAMETERS)
+
+
+#: Columns of a model that a distance needs.
+PARAMETERS = [f"m{i}" for i in range(len(FEATURES))] + [f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def with_determinant(model: DataFrame) -> DataFrame:
+    return model.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(1, len(FEATURES))), F.log("l00")))
+
+
+def nearest(x: DataFrame, model: DataFrame, share: float) -> DataFrame:
+    """The vectors of each key and start up to the quantile ``share`` of their distances."""
+    near = x.join(counted(model), "key").withColumn("d2", distance_units())
+    limit = near.groupBy("key", "start").agg(F.expr(f"percentile(d2, {share}, w)").alias("limit"))
+    limit = written(limit, "quality-limit")
+    return near.join(counted(limit), ["key", "start"]).filter(F.col("d2") <= F.col("limit"))
+
+
+def fit(stats: DataFrame, share: float = 0.75, min_group: int = 60) -> tuple[DataFrame, DataFrame]:
     """(group key of each language and source, model a key): the minimum-covariance-determinant estimates."""
     good = stats.filter(~F.col("base_failed"))
     count = good.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"))
@@ -136,58 +182,62 @@ def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_group: int =
     lang = F.to_json(F.array(F.coalesce("g_lang", F.lit("\0"))))
     key = F.when(F.col("n") >= min_group, own).when(F.col("n_lang") >= min_group, lang).otherwise(F.lit("[]"))
     keys = written(keys.select("g_lang", "g_source", key.alias("key")), "quality-keys")
-    d = len(FEATURES)
     x = with_key(good.select("g_lang", "g_source", *FEATURES), keys).select("key", *FEATURES)
     # whole vectors that occur more than once travel as one row with a weight
     x = written(x.groupBy("key", *FEATURES).agg(F.count("*").alias("w")), "quality-vectors")
+    model = estimate(x, share)
+    return keys, written(model.filter(F.col("n") >= F.lit(share * min_group)), "quality-model")
 
+
+def estimate(x: DataFrame, share: float) -> DataFrame:
+    """The model of each key: of three starts, the estimate with the least determinant."""
+    d = len(FEATURES)
     middle = x.groupBy("key").agg(*[F.expr(f"percentile({f}, 0.5, w)").alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    off = x.join(middle, "key")
+    middle = written(middle, "quality-middle")
+    off = x.join(counted(middle), "key")
     spread = off.groupBy("key").agg(
         *[F.expr(f"percentile(cast(abs({f} - m{i}) as bigint), 0.5, w)").alias(f"s{i}") for i, f in enumerate(FEATURES)]
     )
-    model = middle.join(spread, "key")
+    first = middle.join(spread, "key")
     for i, j in combinations_with_replacement(range(d), 2):
         variance = F.greatest(1.4826 * 1.4826 * F.col(f"s{i}") * F.col(f"s{i}"), F.lit(float(FLOORS[i])))
-        model = model.withColumn(pair(i, j), variance if i == j else F.lit(0.0))
-    model = factored(model.drop(*[f"s{i}" for i in range(d)]))
-    for _ in range(steps):
-        model = written(model, "quality-model")
-        near = x.join(model, "key").withColumn(
-            "d2", F.floor(F.least(solved_distance(), F.lit(D2_MOST)) * D2_UNIT).cast("long")
-        )
-        limit = near.groupBy("key").agg(F.expr(f"percentile(d2, {share}, w)").alias("limit"))
-        limit = written(limit, "quality-limit")
-        inside = near.join(limit, "key").filter(F.col("d2") <= F.col("limit"))
-        wide = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
-        sums = [F.sum("w").cast("double").alias("n")]
-        sums += [wide(F.col(f) * F.col("w")).alias(f"t{i}") for i, f in enumerate(FEATURES)]
-        sums += [
-            wide(F.col(FEATURES[i]) * F.col(FEATURES[j]) * F.col("w")).alias(f"q{i}{j}")
-            for i, j in combinations_with_replacement(range(d), 2)
-        ]
-        model = inside.groupBy("key").agg(*sums)
-        model = model.withColumns({f"m{i}": F.col(f"t{i}") / F.col("n") for i in range(d)})
-        for i, j in combinations_with_replacement(range(d), 2):
-            cov = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            model = model.withColumn(pair(i, j), F.greatest(cov, F.lit(0.0)) + FLOORS[i] if i == j else cov)
-        model = factored(model)
-    enough = F.col("n") >= F.lit(share * min_group)
-    return keys, written(model.filter(enough), "quality-model")
+        first = first.withColumn(pair(i, j), variance if i == j else F.lit(0.0))
+    endless = F.lit(float("inf"))
+    columns = ("key", "start", "n", "logdet", *PARAMETERS)
+    first = factored(first).withColumns({"start": F.lit(0), "n": F.lit(0.0), "logdet": endless}).select(*columns)
+    first = written(first, "quality-start")
+    half = moments(nearest(x, first, 0.5)).withColumns({"start": F.lit(2), "logdet": endless})
+    every = moments(x.withColumn("start", F.lit(1))).withColumn("logdet", endless)
+    falling = written(first.unionByName(every).unionByName(half), "quality-falling")
+    ended = None
+    while not falling.isEmpty():
+        now = written(moments(nearest(x, falling, share)), "quality-step")
+        before = falling.select("key", "start", F.struct("n", "logdet", *PARAMETERS).alias("old"))
+        both = now.join(before, ["key", "start"])
+        falls = F.col("logdet") < F.col("old.logdet") - TOLERANCE
+        last = both.filter(~falls).withColumn("new", F.struct("n", "logdet", *PARAMETERS))
+        last = last.select("key", "start", F.when(F.col("logdet") < F.col("old.logdet"), F.col("new")).otherwise(F.col("old")).alias("m"))
+        last = last.select("key", "start", "m.*")
+        ended = last if ended is None else ended.unionByName(last)
+        falling = written(both.filter(falls).select(*columns), "quality-falling")
+    if ended is None:
+        return first
+    least = ended.groupBy("key").agg(F.min(F.struct("logdet", "start", "n", *PARAMETERS)).alias("m"))
+    return least.select("key", "m.*")
 
 
 def with_key(stats: DataFrame, keys: DataFrame) -> DataFrame:
     """Null-safe left join of the groups' keys."""
     k = keys.withColumnsRenamed({"g_lang": "k_lang", "g_source": "k_source"})
     on = stats["g_lang"].eqNullSafe(k["k_lang"]) & stats["g_source"].eqNullSafe(k["k_source"])
-    return stats.join(k, on, "left").drop("k_lang", "k_source")
+    return stats.join(counted(k), on, "left").drop("k_lang", "k_source")
 
 
 def judge(docs: DataFrame, cut: float = CUT, keep_rows: bool = False) -> DataFrame:
     """doc (struct), the counts, base_failed, kept, distance2 (null where no model applies): one row per input row."""
     stats = with_statistics(docs, keep_rows)
     keys, model = fit(stats)
-    out = with_key(stats, keys).join(model, "key", "left")
+    out = with_key(stats, keys).join(counted(model), "key", "left")
     d2 = F.when(~F.col("base_failed"), solved_distance())
     kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cut)
     return out.select("doc", *COUNTS, "base_failed", kept.alias("kept"), d2.alias("distance2"))

@@ -31,19 +31,36 @@ def test_base_counts_against_brute_force(docs, rows):
     assert sorted(map(str, map(tuple, found))) == sorted(str((i, *counts(t))) for i, t, *_ in rows)
 
 
-def minimum_covariance(x, share=0.75, steps=3):
-    """The same estimate in NumPy: centre and covariance of each concentration step."""
+def minimum_covariance(x, share=0.75):
+    """The same estimate in NumPy: of three starts, concentration steps until the determinant falls no more."""
     x, floors = np.array(x, float), np.array(quality.FLOORS, float)
+
+    def far(centre, cov):
+        return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre) / quality.CONSISTENCY
+
+    def of(near):
+        cov = np.cov(near.T, bias=True)
+        cov[np.diag_indices(len(floors))] = np.maximum(np.diag(cov), 0) + floors
+        return near.mean(0), cov
+
+    def step(model, h):
+        d2 = np.floor(np.minimum(far(*model), quality.D2_MOST) * quality.D2_UNIT)
+        return of(x[d2 <= np.percentile(d2, 100 * h)])
+
     centre = np.median(x, 0)
     spread = np.median(np.floor(np.abs(x - centre)), 0)
-    cov = np.diag(np.maximum(1.4826**2 * spread**2, floors))
-    far = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre) / quality.CONSISTENCY
-    for _ in range(steps):
-        d2 = np.floor(np.minimum(far(), quality.D2_MOST) * quality.D2_UNIT)
-        near = x[d2 <= np.percentile(d2, 100 * share)]
-        centre, cov = near.mean(0), np.cov(near.T, bias=True)
-        cov[np.diag_indices(len(floors))] = np.maximum(np.diag(cov), 0) + floors
-    return far()
+    first = centre, np.diag(np.maximum(1.4826**2 * spread**2, floors))
+    ends = []
+    for model in (first, of(x), step(first, 0.5)):
+        before = np.inf
+        while True:
+            new = step(model, share)
+            now = np.linalg.slogdet(new[1])[1]
+            if now >= before - quality.TOLERANCE:
+                ends.append((now, new) if now < before else (before, model))
+                break
+            model, before = new, now
+    return far(*min(ends, key=lambda e: e[0])[1])
 
 
 def test_outliers_against_numpy(spark):
@@ -199,7 +216,7 @@ def test_languages(docs, spark, empty):
     assert model["langs"] == ["de", "en"]
     found = langid.predict(docs, model).collect()
     assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
-    text = spark.createDataFrame([(1, "the quiet rivers"), (2, "und nicht das papier"), (3, "123 ..."), (4, None), (None, "licht")], "doc_id long, text string")
+    text = spark.createDataFrame([(1, "the quiet rivers"), (2, "und nicht das papier"), (3, "123 ... ½ ² ① Ⅷ"), (4, None), (None, "licht")], "doc_id long, text string")
     assert [(r.doc_id, r.lang_pred) for r in langid.predict(text, model).collect()] == [(1, "en"), (2, "de"), (3, "und"), (4, "und"), (None, "de")]
     assert langid.predict(empty, model).collect() == []
     assert {r.lang_pred for r in langid.predict(text, langid.train(empty)).collect()} == {"und"}
@@ -215,6 +232,7 @@ def test_held_out_accuracy(spark):
     rows = [(k, prose(rng, EN if k % 2 else DE, 40), "en" if k % 2 else "de") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert langid.train(docs)["rows"][0].keys() == langid.train(docs, words=None, grams=None)["rows"][0].keys()  # all are few here
     assert all(found[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, *_ in rows)
     assert sum(found[k].lang_pred == la for k, _, la in rows if found[k].held_out) >= 0.98 * sum(found[k].held_out for k, *_ in rows)
 
