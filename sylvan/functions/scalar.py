@@ -63,17 +63,20 @@ def above_base(z: Column, base: Column) -> Column:
     return F.greatest(z - base, F.lit(0.0))
 
 
-def window_diameter(h: Column) -> Column:
-    """Diameter of the local-maximum window at a height, with jumps at the two limits."""
+def window_diameter(
+    h: Column, low_height=LOW_HEIGHT, high_height=HIGH_HEIGHT, low_window=LOW_WINDOW, mid_slope=MID_SLOPE,
+    mid_intercept=MID_INTERCEPT, high_slope=HIGH_SLOPE, high_intercept=HIGH_INTERCEPT,
+) -> Column:
+    """Diameter of the local-maximum window at a height, with jumps at the two limits. Numbers or columns."""
     return (
-        F.when(h < LOW_HEIGHT, F.lit(LOW_WINDOW))
-        .when(h < HIGH_HEIGHT, h * MID_SLOPE + MID_INTERCEPT)
-        .otherwise(h * HIGH_SLOPE + HIGH_INTERCEPT)
+        F.when(h < low_height, F.lit(low_window))
+        .when(h < high_height, h * mid_slope + mid_intercept)
+        .otherwise(h * high_slope + high_intercept)
     )
 
 
-def interpolated_window(h: Column, heights: list[float], windows: list[float]) -> Column:
-    """Linear between control points, constant beyond them."""
+def interpolated_window(h: Column, heights: list, windows: list) -> Column:
+    """Linear between control points, constant beyond them. Numbers or columns."""
     out = F.lit(windows[-1])
     for k in reversed(range(1, len(heights))):
         slope = (windows[k] - windows[k - 1]) / (heights[k] - heights[k - 1])

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.functions import scalar as S
+
 #: Neighbours in the order in which a flooded cell looks at them (four first, then diagonals).
 NEIGHBOURS = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, -1), (-1, 1), (1, 1))
 
@@ -89,19 +91,34 @@ def dense(table: pd.DataFrame, value: str, rows: int, cols: int, fill: float) ->
 CROWNS = "plot_id long, tree_id long, row_ int, col int"
 
 
-def segment(raster: DataFrame, tops: DataFrame, min_height: float = 2.0, connectivity: int = 8, rows: int = 60, cols: int = 60) -> DataFrame:
-    """Crown cells (plot_id, tree_id, row_, col) grown from the tops over cells of at least the minimum height."""
+def extent(*tables: pd.DataFrame) -> tuple[int, int]:
+    """Rows and columns of the grid that holds all cells, a plot's at least."""
+    if any((t[["row_", "col"]] < 0).any(axis=None) for t in tables):
+        raise ValueError("a cell has a negative row or column")
+    return tuple(max(S.SIDE, *(int(t[c].max()) + 1 for t in tables if len(t))) for c in ("row_", "col"))
+
+
+def segment(raster: DataFrame, tops: DataFrame, min_height: float | Column = 2.0, connectivity: int | Column = 8) -> DataFrame:
+    """Crown cells (plot_id, tree_id, row_, col) grown from the tops over cells of at least the minimum height.
+
+    The grid reaches as far as the raster's cells; numbers may be columns of the raster, the same for all cells of a plot.
+    """
 
     def run(cells: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         if cells.empty or seeds.empty:
             return pd.DataFrame({"plot_id": [], "tree_id": [], "row_": [], "col": []})
+        rows, cols = extent(cells, seeds)
         height = dense(cells, "h", rows, cols, 0.0)
-        canopy = height >= min_height
-        label = grow(np.where(canopy, height, 0.0), dense(seeds, "tree_id", rows, cols, 0).astype(int), connectivity)
+        canopy = height >= cells["least"].iloc[0]
+        label = grow(np.where(canopy, height, 0.0), dense(seeds, "tree_id", rows, cols, 0).astype(int), int(cells["around"].iloc[0]))
         r, c = np.nonzero(canopy & (label > 0))
         return pd.DataFrame({"plot_id": cells["plot_id"].iloc[0], "tree_id": label[r, c], "row_": r, "col": c})
 
-    known = raster.filter("h is not null").select("plot_id", "row_", "col", F.col("h").cast("double").alias("h"))
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    known = raster.filter("h is not null").select(
+        "plot_id", "row_", "col", F.col("h").cast("double").alias("h"),
+        column(min_height).cast("double").alias("least"), column(connectivity).cast("int").alias("around"),
+    )
     seeds = tops.select("plot_id", "tree_id", "row_", "col")
     return known.groupBy("plot_id").cogroup(seeds.groupBy("plot_id")).applyInPandas(run, CROWNS)
 
@@ -151,11 +168,11 @@ def cleaned(mask: np.ndarray) -> np.ndarray:
 CLEAN = "plot_id long, tree_id long, raw_cells long, clean_cells long, n_components long, clean_area_m2 double"
 
 
-def clean_crowns(cells: DataFrame, rows: int = 60, cols: int = 60) -> DataFrame:
+def clean_crowns(cells: DataFrame) -> DataFrame:
     """Of each overlapping crown: cells before and after cleaning, components, area."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((rows, cols), bool)
+        mask = np.zeros(extent(table), bool)
         mask[table["row_"], table["col"]] = True
         clean = int(cleaned(mask).sum())
         out = {"plot_id": table["plot_id"].iloc[0], "tree_id": table["tree_id"].iloc[0], "raw_cells": int(mask.sum())}

@@ -204,9 +204,17 @@ def rolled_up(counts: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in SUMS])
 
 
+def source_quality(counts: DataFrame, plots: DataFrame) -> DataFrame:
+    """collection, pq."""
+    unknown = F.raise_error(F.concat(F.lit("no source for plot "), F.col("plot_id").cast("string")))
+    mapped = counts.join(plots.select("plot_id", "collection"), "plot_id", "left")
+    mapped = mapped.withColumn("collection", F.when(F.col("collection").isNull(), unknown).otherwise(F.col("collection")))
+    pq = safe_ratio(F.col("iou_sum"), F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"))
+    return rolled_up(mapped, "collection").select("collection", F.coalesce(pq, F.lit(0.0)).alias("pq"))
+
+
 def source_balanced(counts: DataFrame, plots: DataFrame) -> DataFrame:
-    """Panoptic quality of each source; then the plain mean and population deviation over sources."""
-    by = rolled_up(counts.join(plots, "plot_id"), "collection")
-    pq = safe_ratio(F.col("iou_sum"), F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"))  # NULL without crowns
-    by = by.select("collection", pq.alias("pq"))
+    """Panoptic quality of each source (0 without crowns); then the plain mean and population deviation over sources.
+    A plot without a source is an error."""
+    by = source_quality(counts, plots)
     return by.agg(F.count("*").alias("sources"), F.avg("pq").alias("mean_pq"), F.stddev_pop("pq").alias("std_pq"))

@@ -77,13 +77,16 @@ def class2_terrain(points: DataFrame) -> DataFrame:
 
 
 def nearest_fill(known: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
-    """Value of the nearest known cell of the plot; ties by row, then column.
+    """Value of the nearest known cell of the plot, however far; ties by row, then column. Plots without any get none.
 
-    Search rings grow by doubling: a wanted cell meets known cells of its own and the eight neighbouring square blocks;
-    what finds none goes on with blocks twice as large.  A found cell is final when it is not further than a block.
+    Search rings grow: a wanted cell meets known cells of its own and the eight neighbouring square blocks; what finds
+    none goes on with blocks eight times as large, until a block holds the widest raster.  A found cell is final when it
+    is not further than a block.
     """
     done, rest, size = None, wanted.select(*CELL), 4
-    spark = known.sparkSession
+    reach = [f(c) for c in ("row_", "col") for f in (F.min, F.max)]
+    low_row, high_row, low_col, high_col = known.select("row_", "col").union(rest.select("row_", "col")).agg(*reach).first()
+    widest = 0 if low_row is None else max(high_row - low_row, high_col - low_col) + 1
     while True:
         block = lambda c, d=size: F.floor(c / d).cast("int")
         k = known.select("plot_id", F.col("row_").alias("kr"), F.col("col").alias("kc"), F.col(value).alias("v"), block(F.col("row_")).alias("br"), block(F.col("col")).alias("bc"))
@@ -91,14 +94,15 @@ def nearest_fill(known: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
         w = rest.withColumn("d", F.explode(around)).withColumns(
             {"br": block(F.col("row_")) + F.col("d.da"), "bc": block(F.col("col")) + F.col("d.db")}
         )
-        far = (F.col("kr") - F.col("row_")) * (F.col("kr") - F.col("row_")) + (F.col("kc") - F.col("col")) * (F.col("kc") - F.col("col"))
+        far = lambda a, b: (F.col(a) - F.col(b)).cast("bigint") * (F.col(a) - F.col(b))
         best = w.join(k, ["plot_id", "br", "bc"]).groupBy(*CELL).agg(
-            F.min(F.struct(far.alias("d2"), "kr", "kc", "v")).alias("m")
+            F.min(F.struct((far("kr", "row_") + far("kc", "col")).alias("d2"), "kr", "kc", "v")).alias("m")
         )
-        final = best.filter((F.col("m.d2") <= size * size) | F.lit(size >= 128))
-        found = final.select(*CELL, F.col("m.v").alias(value), F.col("m.d2").cast("bigint").alias("d2"))
+        last = size >= widest
+        final = best.filter((F.col("m.d2") <= size * size) | F.lit(last))
+        found = final.select(*CELL, F.col("m.v").alias(value), F.col("m.d2").alias("d2"))
         done = found if done is None else done.unionByName(found)
-        if size >= 128:
+        if last:
             return done
         rest, size = rest.join(final.select(*CELL), CELL, "left_anti"), size * 8
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvan.functions.scalar import finite_or_zero
+
 
 def leaderboard(trials: DataFrame) -> DataFrame:
     """Rank of each trial in its phase: best score first, failed ones last, ties by candidate."""
@@ -62,7 +64,24 @@ def stratified_split(plots: DataFrame, seed: int = 20260915) -> DataFrame:
     tune = F.when((tune + val >= n) & (n >= 3), F.greatest(F.lit(1.0), n - val - 1)).otherwise(tune)
     val = F.least(val, n - tune)
     split = F.when(place <= tune, "tune").when(place <= tune + val, "validation").otherwise("test")
-    return plots.select("plot_id", "collection", split.alias("split"))
+    found = plots.select("plot_id", "collection", split.alias("split"), place.alias("place"))
+    return rebalanced(found).select("plot_id", "collection", "split")
+
+
+def rebalanced(found: DataFrame) -> DataFrame:
+    """No split stays empty: the largest one (the first of equal ones) gives its last plot. Three counts reach the driver."""
+    names = ("tune", "validation", "test")
+    size = dict.fromkeys(names, 0) | {r.split: r.n for r in found.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    for empty in names[1:]:
+        if size[empty] or not any(size.values()):
+            continue
+        donor = max(names, key=size.get)
+        if size[donor] <= 1:
+            raise ValueError("too few plots for three splits")
+        last = found.filter(F.col("split") == donor).orderBy(F.desc("collection"), F.desc("place"), F.desc("plot_id")).first()
+        found = found.withColumn("split", F.when(F.col("plot_id") == last.plot_id, empty).otherwise(F.col("split")))
+        size[donor], size[empty] = size[donor] - 1, 1
+    return found
 
 
 def fold_starts(groups: list[tuple[str, int]], k: int) -> dict[str, int]:
@@ -100,7 +119,18 @@ def first_of_equal(candidates: DataFrame, order: str, *parameters: str) -> DataF
     return candidates.withColumn("r", F.row_number().over(Window.partitionBy(*parameters).orderBy(order))).filter("r = 1").drop("r")
 
 
-def objective(measures: DataFrame) -> DataFrame:
-    """0.2, 0.6 and 0.2 of panoptic quality at the thresholds 0.25, 0.5 and 0.75; undefined counts 0."""
-    pq = {t: F.max(F.when(F.col("threshold") == t, F.coalesce("pq", F.lit(0.0)))) for t in (0.25, 0.5, 0.75)}
-    return measures.agg((0.2 * pq[0.25] + 0.6 * pq[0.5] + 0.2 * pq[0.75]).alias("score"))
+#: Weights of panoptic quality by threshold.
+OBJECTIVE_WEIGHTS = {0.25: 0.2, 0.5: 0.6, 0.75: 0.2}
+
+
+def objective(metrics: DataFrame, kind: str = "weighted-pq") -> DataFrame:
+    """The score of each row of flattened metrics; what is undefined or not finite counts 0."""
+    name = {"pq": "panoptic_quality", "f1": "f1", "mean-iou": "mean_iou", "area-iou": "area_iou"}
+    value = lambda n: finite_or_zero(F.col(f"`{n}`"))
+    if kind == "weighted-pq":
+        score = sum((w * value(f"panoptic_quality@{t:.2f}") for t, w in OBJECTIVE_WEIGHTS.items()), F.lit(0.0))
+    elif kind == "source-balanced-pq":
+        score = value("source_balanced_pq")
+    else:
+        score = value(f"{name[kind]}@0.50")
+    return metrics.withColumn("score", score)

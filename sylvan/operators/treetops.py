@@ -8,34 +8,40 @@ plot, in one Arrow call for each plot; a NULL cell is no data.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.functions import scalar as S
-from sylvan.operators.focal import circle, spread
 from sylvan.operators.rasterize import CELL
+from sylvan.sources.workspace import written
 
 TOP = "plot_id long, row_ int, col int, h double"
 
 
-def prefiltered(raster: DataFrame, min_height: float = 2.0) -> DataFrame:
-    """Cells that are the maximum of the smallest window that the plot's valid cells ask for."""
-    valid = raster.filter(F.col("h").isNotNull())
-    least = valid.groupBy("plot_id").agg(F.min(S.window_diameter(F.col("h")) / 2).alias("r"))
-    near = spread(valid, circle(2.5)).join(least, "plot_id")
-    near = near.filter((F.col("da") * F.col("da") + F.col("db") * F.col("db")) * 0.25 <= F.col("r") * F.col("r") + 1e-12)
+def around(cells: DataFrame) -> DataFrame:
+    """A row for each cell within radius r (metres) of a cell: the offsets as da, db."""
+    within = F.col("r") * F.col("r") + 1e-12
+    far = lambda square: F.floor(F.sqrt(F.greatest(square, F.lit(0.0))) / S.CELL + 1e-9).cast("int")
+    out = cells.withColumn("da", F.explode(F.sequence(-far(within), far(within))))
+    rest = far(within - F.col("da") * F.col("da") * (S.CELL * S.CELL))
+    out = out.withColumn("db", F.explode(F.sequence(-rest, rest)))
+    return out.filter((F.col("da") * F.col("da") + F.col("db") * F.col("db")) * (S.CELL * S.CELL) <= within)
+
+
+def prefiltered(valid: DataFrame, min_height: float | Column = 2.0) -> DataFrame:
+    """Cells (with their radius r) that are the maximum of the smallest window that the plot's valid cells ask for."""
+    least = valid.groupBy("plot_id").agg(F.min("r").alias("r"))
+    near = around(valid.select(*CELL, "h").join(least, "plot_id"))
+    near = near.select("plot_id", (F.col("row_") - F.col("da")).alias("row_"), (F.col("col") - F.col("db")).alias("col"), "h")
     peak = near.groupBy(*CELL).agg(F.max("h").alias("top"))
     return valid.filter(F.col("h") >= min_height).join(peak, CELL).filter("h = top").drop("top")
 
 
-def unbeaten(raster: DataFrame, candidates: DataFrame, widest: float = 4.75) -> DataFrame:
-    """Candidates with nothing higher in their own circle."""
-    r = S.window_diameter(F.col("h")) / 2
-    asked = candidates.select("plot_id", F.col("row_").alias("r0"), F.col("col").alias("c0"), F.col("h").alias("h0"), r.alias("r"))
-    asked = asked.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in circle(widest)])))
-    asked = asked.filter((F.col("d.a") * F.col("d.a") + F.col("d.b") * F.col("d.b")) * 0.25 <= F.col("r") * F.col("r") + 1e-12)
-    asked = asked.withColumns({"row_": F.col("r0") + F.col("d.a"), "col": F.col("c0") + F.col("d.b")})
-    beaten = asked.join(raster, CELL).filter(F.col("h") > F.col("h0"))
+def unbeaten(valid: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates with nothing higher in their own circle, whatever its size."""
+    asked = around(candidates.select("plot_id", F.col("row_").alias("r0"), F.col("col").alias("c0"), F.col("h").alias("h0"), "r"))
+    asked = asked.withColumns({"row_": F.col("r0") + F.col("da"), "col": F.col("c0") + F.col("db")})
+    beaten = asked.join(valid.select(*CELL, "h"), CELL).filter(F.col("h") > F.col("h0"))
     beaten = beaten.select("plot_id", F.col("r0").alias("row_"), F.col("c0").alias("col")).distinct()
     return candidates.join(beaten, CELL, "left_anti")
 
@@ -55,8 +61,8 @@ def settle_ties(candidates: DataFrame) -> DataFrame:
                 same.append((row, col))
         return table.loc[keep, ["plot_id", "row_", "col", "h"]]
 
-    r = S.window_diameter(F.col("h")) / 2
-    return candidates.withColumn("r", r).groupBy("plot_id").applyInPandas(run, TOP)
+    found = candidates.select("plot_id", "row_", "col", F.col("h").cast("double").alias("h"), "r")
+    return found.groupBy("plot_id").applyInPandas(run, TOP)
 
 
 def numbered(tops: DataFrame) -> DataFrame:
@@ -69,9 +75,15 @@ def numbered(tops: DataFrame) -> DataFrame:
     )
 
 
-def locate(raster: DataFrame, min_height: float = 2.0) -> DataFrame:
-    widest = 8.0
-    return numbered(settle_ties(unbeaten(raster, prefiltered(raster, min_height), widest / 2)))
+def with_radius(raster: DataFrame, window=S.window_diameter) -> DataFrame:
+    """Cells with data, and the radius of their windows; ``window`` gives the diameter at a height."""
+    return raster.filter(F.col("h").isNotNull()).withColumn("r", window(F.col("h")) / 2)
+
+
+def locate(raster: DataFrame, min_height: float | Column = 2.0, window=S.window_diameter) -> DataFrame:
+    """Tree tops of rasters of any size. ``window`` and ``min_height`` may read further columns of the raster."""
+    valid = written(with_radius(raster, window), "cells")
+    return numbered(settle_ties(unbeaten(valid, written(prefiltered(valid, min_height), "candidates"))))
 
 
 def in_core(tops: DataFrame, margin: float = 5.0) -> DataFrame:

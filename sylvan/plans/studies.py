@@ -1,4 +1,4 @@
-"""Studies: designs, surrogate proposals, work lists of candidates over folds, flattened measures."""
+"""Studies: designs, surrogate proposals, work lists of candidates over folds, validation."""
 
 from __future__ import annotations
 
@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 from sylvan.functions import parameters
 
 
-def flattened(pairs: DataFrame, thresholds: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """A column for each threshold: pairs of crowns over it."""
-    over = [F.count(F.when(F.col("iou") >= t, 1)).alias(f"tp_{t:.2f}") for t in thresholds]
-    return pairs.groupBy("plot_id").agg(*over)
-
-
 def first_in_cell(heights: DataFrame) -> DataFrame:
     order = Window.partitionBy("plot_id", "row_", "col").orderBy(F.desc("h"), "tree_id")
     return heights.withColumn("r", F.row_number().over(order)).filter("r = 1").select("plot_id", "row_", "col", "tree_id")
@@ -116,12 +110,7 @@ def work_list(trials: DataFrame, plots: DataFrame, k: int) -> DataFrame:
     return plots.join(F.broadcast(best.select("candidate_id"))).groupBy("candidate_id", "collection").agg(F.count("*").alias("plots"))
 
 
-def validation(decoded: DataFrame) -> DataFrame:
+def validation(candidates: DataFrame, flexible: bool = False) -> DataFrame:
     """How many parameter sets there are and how many meet each rule."""
-    table = decoded.select(
-        F.lit(2.0).alias("min_height"), F.col("median").alias("median_filter_size"), F.col("low").alias("lmf_low_height_limit"),
-        F.col("high").alias("lmf_high_height_limit"), F.col("w_low").alias("lmf_low_window_size"), F.col("s_mid").alias("lmf_mid_slope"),
-        F.col("i_mid").alias("lmf_mid_intercept"), F.col("s_high").alias("lmf_high_slope"), F.col("i_high").alias("lmf_high_intercept"),
-    )
-    rules = parameters.valid("legacy")
-    return table.agg(F.count("*").alias("n"), *[F.count(F.when(rules[k], 1)).alias(k) for k in ("median_odd", "limits_ordered", "windows_positive")])
+    rules = parameters.valid(flexible)
+    return candidates.agg(F.count("*").alias("n"), *[F.count(F.when(rule, 1)).alias(name) for name, rule in rules.items()])

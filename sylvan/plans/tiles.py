@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sylvan.operators import crowns, treetops
 from sylvan.operators.rasterize import CELL
+from sylvan.sources.workspace import written
 
 
 def window(raster: DataFrame, top: int, left: int, bottom: int, right: int, buffer: int = 50) -> DataFrame:
@@ -38,8 +39,9 @@ def unpaired(tops: DataFrame, cells: DataFrame) -> DataFrame:
 
 def run_tiles(raster: DataFrame, work: DataFrame, min_height: float = 2.0) -> DataFrame:
     """Status and numbers of tops and crown cells of each plot; a plot without canopy is empty, without raster an error."""
-    tops = treetops.locate(raster, min_height)
-    cells = crowns.segment(raster, tops, min_height)
+    raster = written(raster, "raster")
+    tops = written(treetops.locate(raster, min_height), "tops")
+    cells = written(crowns.segment(raster, tops, min_height), "crowns")
     n_tops = tops.groupBy("plot_id").agg(F.count("*").alias("n_tops"))
     n_cells = cells.groupBy("plot_id").agg(F.count("*").alias("n_cells"), F.countDistinct("tree_id").alias("n_crowns"))
     there = raster.select("plot_id").distinct().withColumn("_there", F.lit(1))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sylvan.functions import parameters
 from sylvan.operators import matching, rasterize, search
-from sylvan.plans import routing, studies
+from sylvan.plans import evaluation, routing, studies
 from sylvan.queries_raster import c, chm, heights, r6
+from sylvan.sources.workspace import written
 from sylvan.sources.tables import plots, points, read, tree_summary, trials, with_sql
 
 QUERIES: dict = {}
@@ -75,10 +78,19 @@ def rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def crown_tables(spark, sf):
+    """Eligible and ignored reference crowns and predictions, each written once."""
+    won = written(reference(spark, sf, None), "reference")
+    trees = tree_summary(spark, sf).select("plot_id", "tree_id", c("completely_inside").alias("inside"))
+    both = won.join(trees, ["plot_id", "tree_id"])
+    part = lambda v: both.filter(c("inside") == v).drop("inside")
+    return part(1), part(0), written(prediction(spark, sf), "prediction")
+
+
 def found(spark, sf):
-    p, g = prediction(spark, sf), reference(spark, sf)
-    m = matching.unique_matches(matching.overlaps(g, p))
-    return matching.outcomes(g, p, reference(spark, sf, False), m), m
+    g, ignored, p = crown_tables(spark, sf)
+    m = written(matching.unique_matches(matching.overlaps(g, p)), "matches")
+    return written(matching.outcomes(g, p, ignored, m), "outcomes"), m
 
 
 @query(CROWNS + " SELECT plot_id, gt_id, pred_id, common, gt_cells, pred_cells, round(iou, 6) AS iou FROM pairs")
@@ -113,14 +125,16 @@ CENTRES = """, gc AS (SELECT plot_id, tree_id AS gt_id, avg(row_) AS gr, avg(col
  gt_cells*0.25::DOUBLE AS gt_area_m2, pred_cells*0.25::DOUBLE AS prediction_area_m2, (pred_cells - gt_cells)*0.25::DOUBLE AS area_error_m2, abs(pred_cells - gt_cells)*0.25::DOUBLE AS absolute_area_error_m2,
  round(sqrt((gr-pr)*(gr-pr) + (gcol-pcol)*(gcol-pcol))*0.5::DOUBLE, 6) AS centroid_distance_m FROM m JOIN gc USING (plot_id, gt_id) JOIN pc USING (plot_id, pred_id)""")
 def m04_match_rows(spark, sf):
-    m = matching.unique_matches(pairs(spark, sf))
-    return rounded(matching.match_rows(m, reference(spark, sf), prediction(spark, sf)), "iou", "dice", "centroid_distance_m")
+    g, _, p = crown_tables(spark, sf)
+    m = matching.unique_matches(matching.overlaps(g, p))
+    return rounded(matching.match_rows(m, g, p), "iou", "dice", "centroid_distance_m")
 
 
 @query()
 def m06_m07_m08_boundary_distances(spark, sf):
-    m = matching.unique_matches(pairs(spark, sf))
-    return rounded(matching.boundary_distances(m, reference(spark, sf), prediction(spark, sf)), "mean_m", "p95_m", "hausdorff_m")
+    g, _, p = crown_tables(spark, sf)
+    m = matching.unique_matches(matching.overlaps(g, p))
+    return rounded(matching.boundary_distances(m, g, p), "mean_m", "p95_m", "hausdorff_m")
 
 
 @query(CROWNS + f" SELECT plot_id, {MEASURES} FROM counts")
@@ -138,30 +152,82 @@ def a14_dataset_metrics(spark, sf):
  SELECT plot_id, tp, round(x.mean_d, 6) AS mean_distance, round(x.mean_iou, 6) AS mean_iou FROM counts LEFT JOIN (SELECT plot_id, avg(d) AS mean_d, avg(iou) AS mean_iou FROM mr GROUP BY ALL) x USING (plot_id)""")
 def a15_j14_shape_means(spark, sf):
     o, m = found(spark, sf)
-    rows = matching.match_rows(m, reference(spark, sf), prediction(spark, sf)).groupBy("plot_id").agg(
+    g, _, p = crown_tables(spark, sf)
+    rows = matching.match_rows(m, g, p).groupBy("plot_id").agg(
         r6(F.avg("centroid_distance_m"), "mean_distance"), r6(F.avg("iou"), "mean_iou")
     )
     return matching.count_metrics(o, m).select("plot_id", "tp").join(rows, "plot_id", "left")
 
 
 @query(CROWNS.replace("WITH ", "WITH plots0 AS (SELECT CAST(n_nationkey AS BIGINT) AS plot_id, r_name AS collection FROM nation JOIN region ON n_regionkey = r_regionkey), ", 1) + """,
- sp AS (SELECT collection, sum(iou_sum)/nullif(sum(tp) + 0.5::DOUBLE*sum(fp) + 0.5::DOUBLE*sum(fn), 0) AS pq FROM counts JOIN plots0 USING (plot_id) GROUP BY ALL)
+ sp AS (SELECT collection, coalesce(sum(iou_sum)/nullif(sum(tp) + 0.5::DOUBLE*sum(fp) + 0.5::DOUBLE*sum(fn), 0), 0) AS pq FROM counts JOIN plots0 USING (plot_id) GROUP BY ALL)
  SELECT count(*) AS sources, round(avg(pq), 6) AS mean_pq, round(stddev_pop(pq), 6) AS std_pq FROM sp""")
 def a16_source_balanced(spark, sf):
     balanced = matching.source_balanced(matching.count_metrics(*found(spark, sf)), plots(spark, sf))
     return rounded(balanced, "mean_pq", "std_pq")
 
 
-@query(CROWNS + """ SELECT plot_id, max(CASE WHEN t = 0.25 THEN n END) AS "tp_0.25", max(CASE WHEN t = 0.5 THEN n END) AS "tp_0.50", max(CASE WHEN t = 0.75 THEN n END) AS "tp_0.75"
- FROM (SELECT plot_id, t, count(*) FILTER (iou >= t) AS n FROM pairs, (VALUES (0.25), (0.5), (0.75)) v(t) GROUP BY ALL) GROUP BY ALL""")
+TOTALS = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(ignored)::BIGINT AS ignored, sum(gt_area) AS gt_area, sum(pred_area) AS pred_area, sum(iou_sum) AS iou_sum, sum(dice_sum) AS dice_sum, sum(common_area) AS common_area"
+FLAT = {"precision": "precision", "recall": "recall", "f1": "f1", "segmentation_quality": "mean_iou", "panoptic_quality": "pq", "mean_iou": "mean_iou", "mean_dice": "mean_dice", "area_iou": "area_iou"}
+
+
+def flat_sql(t: str) -> str:
+    """Crowns matched at a threshold of 0.5 or more, measured over all plots: one row."""
+    fields = ", ".join(f'{own} AS "{name}@{t}"' for name, own in FLAT.items())
+    return f"(SELECT {fields} FROM ({CROWNS.replace('WHERE iou >= 0.5)', f'WHERE iou >= {t})')} SELECT {MEASURES} FROM (SELECT {TOTALS} FROM counts)))"
+
+
+@query(f"SELECT * FROM {flat_sql('0.50')}, {flat_sql('0.75')}")
 def a17_flattened(spark, sf):
-    return studies.flattened(pairs(spark, sf))
+    flat = evaluation.flattened(at_thresholds(spark, sf, 0.5, 0.75))
+    return rounded_all(flat)
+
+
+@query()
+def a17_a13_flattened_at_all_thresholds(spark, sf):
+    return rounded_all(evaluation.flattened(at_thresholds(spark, sf, 0.25, 0.5, 0.75)))
+
 
+def at_thresholds(spark, sf, *thresholds):
+    g, ignored, p = crown_tables(spark, sf)
+    return {t: written(evaluation.counted(g, ignored, p, t), "counts") for t in thresholds}
 
-@query("SELECT 0.2::DOUBLE*0.5 + 0.6::DOUBLE*0.25 + 0.2::DOUBLE*0 AS score")
-def a18_s24_objective(spark, sf):
-    m = spark.createDataFrame([(0.25, 0.5), (0.5, 0.25), (0.75, None)], "threshold double, pq double")
-    return search.objective(m)
+
+def rounded_all(df):
+    return df.select(*[F.round(c(f"`{n}`"), 6).alias(n) for n in df.columns])
+
+
+@query(CROWNS.replace("WHERE iou >= 0.5)", "WHERE iou >= 0.75)") + f" SELECT plot_id, {MEASURES} FROM counts")
+def a13_tile_metrics_at_075(spark, sf):
+    return rounded(matching.measures(at_thresholds(spark, sf, 0.75)[0.75], "plot_id"), *DOUBLES)
+
+
+@query()
+def a13_tile_metrics_at_025(spark, sf):
+    return rounded(matching.measures(at_thresholds(spark, sf, 0.25)[0.25], "plot_id"), *DOUBLES)
+
+
+BALANCED = CROWNS.replace("WITH ", "WITH plots0 AS (SELECT CAST(n_nationkey AS BIGINT) AS plot_id, r_name AS collection FROM nation JOIN region ON n_regionkey = r_regionkey), ", 1) + """,
+ sp AS (SELECT collection, coalesce(sum(iou_sum)/nullif(sum(tp) + 0.5::DOUBLE*sum(fp) + 0.5::DOUBLE*sum(fn), 0), 0) AS pq FROM counts JOIN plots0 USING (plot_id) GROUP BY ALL)"""
+
+
+@query(f"""WITH f AS (SELECT * FROM {flat_sql('0.50')}), b AS ({BALANCED} SELECT avg(pq) AS s FROM sp)
+ SELECT kind, round(coalesce(score, 0), 6) AS score FROM (SELECT 'pq' AS kind, "panoptic_quality@0.50" AS score FROM f UNION ALL SELECT 'f1', "f1@0.50" FROM f
+ UNION ALL SELECT 'mean-iou', "mean_iou@0.50" FROM f UNION ALL SELECT 'area-iou', "area_iou@0.50" FROM f UNION ALL SELECT 'source-balanced-pq', s FROM b)""")
+def a18_s24_objectives(spark, sf):
+    counts = at_thresholds(spark, sf, 0.5)
+    flat = evaluation.flattened(counts).crossJoin(
+        matching.source_balanced(counts[0.5], plots(spark, sf)).select(c("mean_pq").alias("source_balanced_pq"))
+    )  # one row each
+    kinds = ("pq", "f1", "mean-iou", "area-iou", "source-balanced-pq")
+    tables = [search.objective(flat, k).select(F.lit(k).alias("kind"), F.round("score", 6).alias("score")) for k in kinds]
+    return reduce(lambda a, b: a.unionByName(b), tables)
+
+
+@query()
+def a18_weighted_objective(spark, sf):
+    flat = evaluation.flattened(at_thresholds(spark, sf, 0.25, 0.5, 0.75))
+    return search.objective(flat, "weighted-pq").select(F.round("score", 6).alias("score"))
 
 
 @query(with_sql("trials") + " SELECT source, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, min(score) AS min, max(score) AS max FROM trials GROUP BY ALL")
@@ -268,7 +334,7 @@ def h01_baseline(spark, sf):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in parameters.BASELINE.items()])
 
 
-CANDIDATES = "u AS (SELECT event_id, list_transform(range(0, 11), lambda k: CAST((event_id*(2*k + 7) + k*k*13) % 101 AS DOUBLE)/101) AS u FROM events WHERE event_id % 20 = 0)"
+CANDIDATES = "u AS (SELECT event_id, list_transform(range(0, 11), lambda k: CAST((event_id*(2*k + 7) + k*k*13) % 101 AS DOUBLE)/101) AS u FROM events)"
 Q = "round(round_even({0}/{1}::DOUBLE, 0)*{1}::DOUBLE, 8)"
 
 
@@ -278,38 +344,95 @@ def q(expression, step):
 
 def candidates(spark, sf):
     k = F.sequence(F.lit(0), F.lit(10))
-    e = read(spark, sf, "events").filter("event_id % 20 = 0")
+    e = read(spark, sf, "events")
     return e.select("event_id", F.transform(k, lambda k: ((c("event_id") * (2 * k + 7) + k * k * 13) % 101).cast("double") / 101).alias("u"))
 
 
-LEGACY = f"""WITH {CANDIDATES}, a AS (SELECT *, {q('6 + u[1]*8', 0.25)} AS low FROM u), b AS (SELECT *, {q('greatest(18, low + 6) + u[2]*(32 - greatest(18, low + 6))', 0.25)} AS high, {q('1 + u[3]*2.5::DOUBLE', 0.25)} AS w_low FROM a),
- d AS (SELECT *, {q('w_low + u[4]*(6 - w_low)', 0.25)} AS w_mid, {q('u[5]*2', 0.25)} AS jump, {q('0.03::DOUBLE + u[6]*(0.25::DOUBLE - 0.03::DOUBLE)', 0.01)} AS s_high FROM b),
- e AS (SELECT *, (w_mid - w_low)/(high - low) AS s_mid FROM d), f AS (SELECT *, w_low - s_mid*low AS i_mid, w_mid + jump - s_high*high AS i_high, [1, 3, 5][CAST(least(floor(u[7]*3), 2) AS INT) + 1] AS median, [4, 8][CAST(least(floor(u[8]*2), 1) AS INT) + 1] AS connectivity FROM e)"""
+def legacy_sql(profile: str) -> str:
+    """Candidates decoded by a search profile; the list of u begins with 1 in SQL."""
+    p = parameters.PROFILES[profile]
+    d = lambda v: f"{v}::DOUBLE"
+    span = lambda k, lo, hi: f"{lo} + u[{k}]*({hi} - {lo})"
+    pick = lambda k, values: f"[{', '.join(map(str, values))}][CAST(least(floor(u[{k}]*{len(values)}), {len(values) - 1}) AS INT) + 1]"
+    least = f"greatest(18, low + {p['gap']})"
+    return f"""WITH {CANDIDATES}, a AS (SELECT *, {q(span(1, *map(d, p['low'])), 0.25)} AS low FROM u),
+ b AS (SELECT *, {q(f"{least} + u[2]*({p['high']} - {least})", 0.25)} AS high, {q(span(3, *map(d, p['window'])), 0.25)} AS w_low FROM a),
+ d AS (SELECT *, {q(f"w_low + u[4]*({d(p['mid'])} - w_low)", 0.25)} AS w_mid, {q(span(5, *map(d, p['jump'])), 0.25)} AS jump, {q(span(6, *map(d, p['slope'])), 0.01)} AS s_high FROM b),
+ e AS (SELECT *, (w_mid - w_low)/(high - low) AS s_mid FROM d),
+ f AS (SELECT *, w_low - s_mid*low AS i_mid, w_mid + jump - s_high*high AS i_high, {pick(7, p['median'])} AS median, {pick(8, p['connectivity'])} AS connectivity,
+  {q('1 + u[9]*3', 0.25)} AS least_height FROM e)"""
 
 
-@query(LEGACY + " SELECT event_id, low, high, w_low, w_mid, jump, s_high, round(s_mid, 6) AS s_mid, round(i_mid, 6) AS i_mid, round(i_high, 6) AS i_high, median, connectivity FROM f")
+LEGACY = legacy_sql("broad")
+DECODED = " SELECT event_id, low, high, w_low, w_mid, jump, s_high, round(s_mid, 6) AS s_mid, round(i_mid, 6) AS i_mid, round(i_high, 6) AS i_high, median, connectivity FROM f"
+
+
+@query(LEGACY + DECODED)
 def h02_h04_decode(spark, sf):
     return rounded(parameters.decode(candidates(spark, sf)).drop("u"), "s_mid", "i_mid", "i_high")
 
 
-@query(f"""WITH {CANDIDATES}, a AS (SELECT *, [1, 3, 5][CAST(least(floor(u[1]*3), 2) AS INT) + 1] AS pit_size, [0.0::DOUBLE, 0.5, 0.75, 1.0][CAST(least(floor(u[3]*4), 3) AS INT) + 1] AS sigma, [1, 3][CAST(least(floor(u[4]*2), 1) AS INT) + 1] AS median,
+@query(legacy_sql("for-instance-refined-v2") + DECODED)
+def h04_decode_refined(spark, sf):
+    return rounded(parameters.decode(candidates(spark, sf), "for-instance-refined-v2").drop("u"), "s_mid", "i_mid", "i_high")
+
+
+@query(legacy_sql("ideas-als-small-windows-v2") + DECODED)
+def h04_decode_small_windows(spark, sf):
+    return rounded(parameters.decode(candidates(spark, sf), "ideas-als-small-windows-v2").drop("u"), "s_mid", "i_mid", "i_high")
+
+
+@query(LEGACY + " SELECT event_id, least_height AS min_height, median AS median_filter_size, low AS lmf_low_height_limit, round(i_high, 6) AS lmf_high_intercept, connectivity AS watershed_connectivity, 4 AS polygon_connectivity FROM f")
+def h02_nine_dimensions(spark, sf):
+    d = parameters.named(parameters.decode(candidates(spark, sf)), tune_min_height=True)
+    return rounded(d, "lmf_high_intercept").select(
+        "event_id", "min_height", "median_filter_size", "lmf_low_height_limit", "lmf_high_intercept", "watershed_connectivity", "polygon_connectivity"
+    )
+
+
+FLEXIBLE = f"""WITH {CANDIDATES}, a AS (SELECT *, [1, 3, 5][CAST(least(floor(u[1]*3), 2) AS INT) + 1] AS pit_size, [0.0::DOUBLE, 0.5, 0.75, 1.0][CAST(least(floor(u[3]*4), 3) AS INT) + 1] AS sigma, [1, 3][CAST(least(floor(u[4]*2), 1) AS INT) + 1] AS median,
   {q('8 + 6*u[5]', 0.25)} AS h1, {q('1.5::DOUBLE + 2*u[8]', 0.25)} AS w0 FROM u), b AS (SELECT *, CASE WHEN pit_size = 1 THEN 0.0::DOUBLE ELSE {q('0.5::DOUBLE + 3.5::DOUBLE*u[2]', 0.5)} END AS pit_depth,
   {q('greatest(16, h1 + 5) + u[6]*(30 - greatest(16, h1 + 5))', 0.25)} AS h2, w0 + {q('1.25::DOUBLE*u[9]', 0.25)} AS w1 FROM a),
  d AS (SELECT *, {q('greatest(28, h2 + 5) + u[7]*(48 - greatest(28, h2 + 5))', 0.25)} AS h3, w1 + {q('2.0::DOUBLE*u[10]', 0.25)} AS w2 FROM b)
- SELECT event_id, pit_size, pit_depth, sigma, median, h1, h2, h3, w0, w1, w2, w2 + {q('2.5::DOUBLE*u[11]', 0.25)} AS w3 FROM d""")
+ , g AS (SELECT *, w2 + {q('2.5::DOUBLE*u[11]', 0.25)} AS w3 FROM d)"""
+
+
+@query(FLEXIBLE + " SELECT event_id, pit_size, pit_depth, sigma, median, h1, h2, h3, w0, w1, w2, w3 FROM g")
 def h03_decode_flexible(spark, sf):
     return parameters.decode_flexible(candidates(spark, sf)).drop("u")
 
 
-@query(LEGACY + """ SELECT event_id, array_to_string(list_transform([2, 5, 10, 15, 20, 25, 30, 35, 40, 50], lambda v: CAST(CAST(round(1000*CASE WHEN v < low THEN w_low WHEN v < high THEN s_mid*v + i_mid ELSE s_high*v + i_high END, 0) AS BIGINT) AS VARCHAR)), ',') AS features FROM f""")
+def joined(values: str) -> str:
+    return f"array_to_string(list_transform({values}, lambda v: CAST(CAST(round(1000*v, 0) AS BIGINT) AS VARCHAR)), ',')"
+
+
+def joined_column(values):
+    return F.array_join(F.transform(values, lambda w: F.round(w * 1000, 0).cast("bigint").cast("string")), ",")
+
+
+@query(LEGACY + f" SELECT event_id, {joined('[2, median, low, high, w_low, round(s_mid, 8), round(i_mid, 8), s_high, round(i_high, 8), connectivity]')} AS features FROM f")
 def h08_features(spark, sf):
-    d = parameters.decode(candidates(spark, sf))
-    f = F.transform(parameters.legacy_features(d), lambda w: F.round(w * 1000, 0).cast("bigint").cast("string"))
-    return d.select("event_id", F.array_join(f, ",").alias("features"))
+    d = parameters.named(parameters.decode(candidates(spark, sf)))
+    return d.select("event_id", joined_column(parameters.legacy_features(d)).alias("features"))
+
+
+HEIGHTS = "[2, 5, 10, 15, 20, 25, 30, 35, 40, 50]"
+
+
+@query(LEGACY + f""" SELECT event_id, {joined(f"list_concat([1.0::DOUBLE, 0, 0, median], list_transform({HEIGHTS}, lambda v: CASE WHEN v < low THEN w_low WHEN v < high THEN round(s_mid, 8)*v + round(i_mid, 8) ELSE s_high*v + round(i_high, 8) END), [connectivity])")} AS features FROM f""")
+def h08_h09_features_of_old_candidates(spark, sf):
+    d = parameters.with_defaults(parameters.named(parameters.decode(candidates(spark, sf))))
+    return d.select("event_id", joined_column(parameters.features(d, False)).alias("features"))
+
+
+@query(FLEXIBLE + f""" SELECT event_id, {joined(f"list_concat([pit_size::DOUBLE, pit_depth, sigma, median], list_transform({HEIGHTS}, lambda v: CASE WHEN v <= 2 THEN w0 WHEN v < h1 THEN w0 + (v - 2)*(w1 - w0)/(h1 - 2) WHEN v < h2 THEN w1 + (v - h1)*(w2 - w1)/(h2 - h1) WHEN v < h3 THEN w2 + (v - h2)*(w3 - w2)/(h3 - h2) ELSE w3 END), [4])")} AS features FROM g""")
+def h08_features_of_flexible_candidates(spark, sf):
+    d = parameters.named_flexible(parameters.decode_flexible(candidates(spark, sf)))
+    return d.select("event_id", joined_column(parameters.features(d, True)).alias("features"))
 
 
 @query(with_sql("trials") + " SELECT candidate_id, " + ", ".join(f"max(score) FILTER (source = '{s}') AS {s}" for s in ("click", "view", "purchase", "signup", "error")) + " FROM trials GROUP BY ALL")
-def h10_h09_score_vectors(spark, sf):
+def h10_score_vectors(spark, sf):
     return studies.score_vectors(trials(spark, sf), ["click", "view", "purchase", "signup", "error"])
 
 
@@ -328,9 +451,31 @@ def h07_leave_one_out_proposal(spark, sf):
     return studies.propose_leave_one_out(spark, studies.scored_designs(spark, 24, 8, 20260922), 8, 2048, 20260922)
 
 
-@query("SELECT * FROM (" + LEGACY + """ SELECT count(*) AS n, count(*) FILTER (median % 2 = 1) AS median_odd, count(*) FILTER (high > low) AS limits_ordered, count(*) FILTER (least(low*s_mid + i_mid, high*s_mid + i_mid, high*s_high + i_high) > 0) AS windows_positive FROM f)""")
-def s29_s32_validation(spark, sf):
-    return studies.validation(parameters.decode(candidates(spark, sf)))
+RULES = """count(*) AS n, count(*) AS finite, count(*) AS min_height, count(*) FILTER (median % 2 = 1) AS median_odd, count(*) FILTER ({pit} % 2 = 1) AS pit_size_odd, count(*) FILTER ({depth} >= 0) AS pit_depth, count(*) FILTER ({sigma} >= 0) AS sigma"""
+
+
+@query("SELECT * FROM (" + LEGACY + " SELECT " + RULES.format(pit=1, depth=0, sigma=0) + """, count(*) FILTER (low >= 0) AS low_limit, count(*) FILTER (high > low) AS limits_ordered, count(*) FILTER (w_low > 0) AS low_window,
+ count(*) FILTER (least(low*round(s_mid, 8) + round(i_mid, 8), high*round(s_mid, 8) + round(i_mid, 8), high*s_high + round(i_high, 8)) > 0) AS windows_positive FROM f)""")
+def s29_validation(spark, sf):
+    return studies.validation(parameters.with_defaults(parameters.named(parameters.decode(candidates(spark, sf)))))
+
+
+@query("SELECT * FROM (" + FLEXIBLE + " SELECT " + RULES.format(pit="pit_size", depth="pit_depth", sigma="sigma") + """, count(*) AS complete, count(*) FILTER (h1 > 2 AND h2 > h1 AND h3 > h2) AS heights_increase,
+ count(*) FILTER (least(w0, w1, w2, w3) > 0) AS windows_positive, count(*) FILTER (w1 >= w0 AND w2 >= w1 AND w3 >= w2) AS windows_never_fall FROM g)""")
+def s29_flexible_validation(spark, sf):
+    return studies.validation(parameters.named_flexible(parameters.decode_flexible(candidates(spark, sf))), True)
+
+
+NAMES = [*parameters.COMMON, *parameters.PREPROCESSING, *parameters.LEGACY, *parameters.FLEXIBLE, "other"]
+
+
+@query(f"""WITH k AS (SELECT event_id, list_concat({list(parameters.COMMON)}, CASE event_id % 5 WHEN 0 THEN {list(parameters.LEGACY)} WHEN 1 THEN {list(parameters.FLEXIBLE)} WHEN 2 THEN {list(parameters.LEGACY + parameters.FLEXIBLE[:1])} WHEN 3 THEN {list(parameters.LEGACY[1:])} ELSE {list(parameters.LEGACY + ("other",))} END) AS keys FROM events)
+ SELECT event_id, (list_has_all(keys, {list(parameters.LEGACY)}) OR list_has_all(keys, {list(parameters.FLEXIBLE)})) AND NOT (list_has_any(keys, {list(parameters.LEGACY)}) AND list_has_any(keys, {list(parameters.FLEXIBLE)})) AND NOT list_contains(keys, 'other') AS valid FROM k""")
+def s32_parameter_shape(spark, sf):
+    lit = lambda names: F.array(*[F.lit(n) for n in names])
+    kinds = (parameters.LEGACY, parameters.FLEXIBLE, parameters.LEGACY + parameters.FLEXIBLE[:1], parameters.LEGACY[1:], parameters.LEGACY + ("other",))
+    own = reduce(lambda out, k: F.when(c("event_id") % 5 == k, lit(kinds[k])).otherwise(out), range(4), lit(kinds[4]))
+    return read(spark, sf, "events").select("event_id", parameters.shape_valid(F.concat(lit(parameters.COMMON), own)).alias("valid"))
 
 
 @query()
@@ -350,5 +495,49 @@ def h15_nearest_class(spark, sf):
 
 @query(with_sql("trials", "plots") + """, p AS (SELECT candidate_id, max(score) AS s FROM trials GROUP BY ALL ORDER BY s DESC, candidate_id LIMIT 4)
  SELECT candidate_id, collection, count(*) AS plots FROM p, plots GROUP BY ALL""")
-def h17_h16_h11_candidates_by_fold(spark, sf):
+def h17_candidates_by_fold(spark, sf):
     return studies.work_list(trials(spark, sf), plots(spark, sf), 4)
+
+
+def study(spark, sf, n=3):
+    """A small study: the baseline and some designs on all plots' rasters."""
+    base = parameters.BASELINE
+    designs = parameters.named(parameters.decode(studies.latin_hypercube(spark, n, 9, 20260921)))
+    first = spark.range(1).select(F.lit(-1).cast("bigint").alias("candidate_id"), *[F.lit(v).alias(k) for k, v in base.items()])
+    return first.unionByName(designs.select("candidate_id", *base))
+
+
+@query()
+def h11_candidate_evaluation(spark, sf):
+    runs = evaluation.runs_of(study(spark, sf), plots(spark, sf).select("plot_id"))
+    g, ignored, _ = crown_tables(spark, sf)
+    found = evaluation.evaluate(written(chm(spark, sf), "raster"), g, ignored, runs, "candidate_id", plots=plots(spark, sf))
+    return found.select("candidate_id", "status", F.round("score", 6).alias("score"), F.round("source_balanced_pq", 6).alias("source_balanced_pq"))
+
+
+@query()
+def h15_route_and_run(spark, sf):
+    route = h15_nearest_class(spark, sf)
+    frozen = study(spark, sf, 2).withColumn("class_index", (c("candidate_id") + 1).cast("int")).drop("candidate_id")
+    g, ignored, _ = crown_tables(spark, sf)
+    found = evaluation.evaluate(written(chm(spark, sf), "raster"), g, ignored, evaluation.routed(route, frozen), "class_index")
+    return found.select("class_index", "status", F.round("score", 6).alias("score"))
+
+
+@query()
+def h16_transfer_evaluation(spark, sf):
+    """The baseline, frozen, on the plots of another collection."""
+    there = plots(spark, sf).filter("collection = 'ASIA'").select("plot_id")
+    keep = lambda d: d.join(there, "plot_id", "left_semi")
+    runs = evaluation.runs_of(study(spark, sf).filter("candidate_id = -1"), there)
+    g, ignored, _ = crown_tables(spark, sf)
+    found = evaluation.evaluate(written(keep(chm(spark, sf)), "raster"), keep(g), keep(ignored), runs, "candidate_id")
+    return found.select("candidate_id", "status", F.round("score", 6).alias("score"))
+
+
+@query()
+def h17_cross_validation(spark, sf):
+    folds = search.stratified_folds(plots(spark, sf), 3)
+    g, ignored, _ = crown_tables(spark, sf)
+    _, ranked, _ = evaluation.cross_validated(written(chm(spark, sf), "raster"), g, ignored, study(spark, sf, 2), folds)
+    return ranked.select("candidate_id", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), c("rank").cast("bigint").alias("rank"))

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sylvan.operators import crowns, focal, matching, rasterize, treetops
 
@@ -159,3 +160,37 @@ def test_nothing_matches(spark):
     m = matching.unique_matches(matching.overlaps(gt, pred))
     got = matching.measures(matching.count_metrics(matching.outcomes(gt, pred, gt, m), m), "plot_id").first()
     assert (got.f1, got.mean_iou, got.pq) == (0.0, None, None)
+
+
+def test_a_wide_window_over_fifty_metres(spark):
+    """A cell 4.5 m from a 60 m cell, whose window has a radius of 5 m, is no top."""
+    rows = [(1, 30, 30, 60.0), (1, 30, 39, 59.0), (1, 30, 59, 30.0), (1, 120, 140, 58.0)]
+    tops = treetops.locate(spark.createDataFrame(rows, "plot_id long, row_ int, col int, h double")).collect()
+    assert sorted((t.row_, t.col) for t in tops) == [(30, 30), (30, 59), (120, 140)]
+
+
+def test_canopy_beyond_a_plots_grid(spark):
+    rows = [(1, r, q, 20.0 - abs(r - 85) - abs(q - 85)) for r in range(70, 100) for q in range(70, 100)]
+    raster = spark.createDataFrame(rows, "plot_id long, row_ int, col int, h double")
+    tops = treetops.locate(raster)
+    assert [(t.row_, t.col) for t in tops.collect()] == [(85, 85)]
+    crown = crowns.segment(raster, tops).collect()
+    assert len(crown) == sum(h >= 2 for *_, h in rows)
+    assert focal.focal_median(raster, 3, 100, 100).count() > 0
+    with pytest.raises(Exception, match="outside the grid"):
+        focal.focal_median(raster, 3).collect()
+
+
+def test_nearest_fill_reaches_any_distance(spark):
+    known = spark.createDataFrame([(1, 0, 0, 5.0), (2, 3, 3, 1.0)], "plot_id long, row_ int, col int, h double")
+    wanted = spark.createDataFrame([(1, 0, 600), (1, 2000, 1), (2, 3, 4), (3, 0, 0)], "plot_id long, row_ int, col int")
+    found = sorted((r.plot_id, r.row_, r.col, r.h, r.d2) for r in rasterize.nearest_fill(known, wanted, "h").collect())
+    assert found == [(1, 0, 600, 5.0, 360_000), (1, 2000, 1, 5.0, 4_000_001), (2, 3, 4, 1.0, 1)]
+
+
+def test_window_parameters_are_columns(spark):
+    """The same raster under two windows: a narrow one finds both cells, a wide one the higher."""
+    rows = [(k, 10, c, h) for k in (1, 2) for c, h in ((10, 20.0), (14, 19.0))]
+    raster = spark.createDataFrame(rows, "plot_id long, row_ int, col int, h double").withColumn("d", F.when(F.col("plot_id") == 1, 2.0).otherwise(6.0))
+    tops = treetops.locate(raster, window=lambda h: F.col("d")).groupBy("plot_id").count().collect()
+    assert {r.plot_id: r["count"] for r in tops} == {1: 2, 2: 1}

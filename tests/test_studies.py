@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan import queries_raster, queries_study
-from sylvan.operators import rasterize, search
-from sylvan.plans import studies
+from sylvan.functions import parameters
+from sylvan.operators import matching, rasterize, search
+from sylvan.plans import evaluation, studies
 from sylvan.sources import sinks, tables
 from sylvan.streaming import canopy
 
@@ -103,3 +104,54 @@ def test_proposals_use_the_whole_forest_and_pool(spark, monkeypatch):
     assert queries_study.h06_surrogate_proposal(spark, "").count() == 1
     assert queries_study.h07_leave_one_out_proposal(spark, "").count() == 1
     assert sizes == [(300, 2048)] * 4
+
+
+def test_no_split_stays_empty(spark):
+    plots = spark.createDataFrame([(k, f"site{k}") for k in range(5)], "plot_id long, collection string")
+    sizes = {r.split: r["count"] for r in search.stratified_split(plots).groupBy("split").count().collect()}
+    assert sizes == {"tune": 3, "validation": 1, "test": 1}
+    with pytest.raises(ValueError):
+        search.stratified_split(plots.limit(2))
+    assert search.stratified_split(plots.limit(0)).collect() == []
+
+
+def test_a_source_without_crowns_counts_nothing_and_an_unknown_plot_is_an_error(spark):
+    names = ("tp", "fp", "fn", "ignored", "gt_area", "pred_area", "iou_sum", "dice_sum", "common_area")
+    rows = [(1, 2, 0, 0, 0, 1.0, 1.0, 1.6, 1.7, 1.0), (2, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    counts = spark.createDataFrame(rows, "plot_id long, " + ", ".join(f"{n} {'long' if k < 4 else 'double'}" for k, n in enumerate(names)))
+    plots = spark.createDataFrame([(1, "a"), (2, "b")], "plot_id long, collection string")
+    r = matching.source_balanced(counts, plots).first()
+    assert (r.sources, round(r.mean_pq, 9), round(r.std_pq, 9)) == (2, 0.4, 0.4)
+    with pytest.raises(Exception, match="no source for plot"):
+        matching.source_balanced(counts, plots.filter("plot_id = 1")).collect()
+
+
+def test_parameter_rules_names_and_signatures(spark):
+    base = {**parameters.BASELINE, **parameters.PREPROCESSING}
+    rows = [base, base | {"median_filter_size": 2}, base | {"lmf_high_height_limit": 5.0}, base | {"min_height": float("nan")}, base | {"lmf_low_window_size": 0.0}]
+    found = studies.validation(spark.createDataFrame([tuple(map(float, r.values())) for r in rows], list(base))).first().asDict()
+    assert found["n"] == 5 and {k: v for k, v in found.items() if v != 5 and k != "n"} == {"finite": 4, "median_odd": 4, "limits_ordered": 4, "low_window": 4}
+    assert parameters.fractions([0.75, 0.25, 0.5], 0.5) == [0.25, 0.5, 0.75]
+    for bad in (0.0, 1.5, float("nan")):
+        with pytest.raises(ValueError):
+            parameters.fractions([bad], 0.5)
+    assert parameters.signature(base) == parameters.signature(dict(reversed(base.items()))) and len(parameters.signature(base)) == 12
+    assert parameters.signature(base) != parameters.signature(base | {"lmf_mid_slope": 0.10001})
+
+
+def test_evaluation_of_candidates_in_one_job(spark):
+    """Two crowns: the baseline finds them, a window that is too wide one of them, a broken set fails."""
+    cone = lambda p, r0, c0: [(p, r, q, 12.0 - 1.5 * ((r - r0) ** 2 + (q - c0) ** 2) ** 0.5) for r in range(r0 - 3, r0 + 4) for q in range(c0 - 3, c0 + 4)]
+    cells = cone(1, 20, 20) + cone(1, 20, 30)
+    raster = spark.createDataFrame(cells, "plot_id long, row_ int, col int, h double")
+    gt = spark.createDataFrame([(p, 1 + (q > 25), r, q) for p, r, q, _ in cells], "plot_id long, tree_id long, row_ int, col int")
+    base = parameters.BASELINE | {"median_filter_size": 1}
+    wide = base | {"lmf_low_window_size": 14.0, "lmf_mid_slope": 0.0, "lmf_mid_intercept": 14.0}
+    names = list(base)
+    sets = [(k, *(float(s[n]) if isinstance(base[n], float) else s[n] for n in names)) for k, s in enumerate((base, wide, base | {"median_filter_size": 4}))]
+    candidates = spark.createDataFrame(sets, "candidate_id long, " + ", ".join(f"{n} {'double' if isinstance(base[n], float) else 'int'}" for n in names))
+    plots = spark.createDataFrame([(1, "a")], "plot_id long, collection string")
+    runs = evaluation.runs_of(candidates, plots.select("plot_id"))
+    found = {r.candidate_id: r for r in evaluation.evaluate(raster, gt, gt.limit(0), runs, "candidate_id", plots=plots).collect()}
+    assert [found[k].status for k in range(3)] == ["complete", "complete", "failed"]
+    assert found[0].score == 1.0 and found[0].source_balanced_pq == 1.0 and found[1]["recall@0.50"] <= 0.5 and found[2].score == -1.0
