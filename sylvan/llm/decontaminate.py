@@ -7,12 +7,17 @@ the placeholders are consistent: along some alignment each value of the item goe
 so a question with other numbers or names still counts, and a chance template does not.  A slot's place in the document
 comes from a matching window that covers it; slots without one say nothing.
 
+Names are known by their capital, so text in capitals has none.  Items are therefore indexed with and without the name
+placeholders, and texts with a run of CAPITALS words in capitals are also looked up without; if an item has such a run,
+all texts are.  An item of fewer than five template words, too short to be told from prose, is held by a text of which a
+line has exactly its words.
+
 Scale: the documents' windows are exploded lazily, filtered by the join at once and pre-aggregated; the benchmark's
 windows are broadcast only after their number has been counted and is under ``most_broadcast``, else both sides are
 shuffled and AQE splits hot windows.  Documents are identified by a digest of their text, since the verdict is a
 function of the text: one shuffle of whole rows brings the verdicts back.
 
-Edge cases: null and blank texts hold nothing; items of fewer than five template words are never found; repeated
+Edge cases: null and blank texts hold nothing, and blank items are held by none; repeated
 documents and ids each get their text's verdict; equal items are each reported; empty tables give clean documents or no
 rows; the documents' other columns never clash, because rows travel inside one struct.
 """
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import WS, let, read, words, written
 
-WINDOW, SHARE, SLACK = 5, 0.8, 0.2
+WINDOW, SHARE, SLACK, CAPITALS = 5, 0.8, 0.2, 5
 MOST_BROADCAST = 1_000_000
 #: Placeholders: control characters, which are no white space and which the canonical form keeps.
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
@@ -44,9 +49,11 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
 
 
-def template(text: Column) -> Column:
-    """Array of template words."""
-    t = F.regexp_replace(clean(text), rf"\p{{Lu}}(?<=[^.!?:{WS}][{WS}]\p{{Lu}})\p{{Ll}}\p{{L}}*", NAME)
+def template(text: Column, names: bool = True) -> Column:
+    """Array of template words; without ``names`` these stay words."""
+    t = clean(text)
+    if names:
+        t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^.!?:{WS}][{WS}]\p{{Lu}})\p{{Ll}}\p{{L}}*", NAME)
     t = F.regexp_replace(t, r"[0-9](?:[0-9.,:/]*[0-9])?", NUMBER)
     t = F.regexp_replace(F.lower(t), rf"(?<=\x02[{WS}]|\x02)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     return words(stripped(t))
@@ -65,19 +72,40 @@ def window_hashes(template_words: Column) -> Column:
     return let(template_words, hashes)
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item windows: hash, item, at; items: item, n_windows, slots), each written once."""
-    items = benchmark.select(F.col("item_id").alias("item"), template(F.col("text")).alias("t"), values(F.col("text")).alias("v"))
-    items = items.select("item", "t", "v", window_hashes(F.col("t")).alias("hashes")).filter("hashes is not null")
-    items = written(items, "bench-templates")
+def in_capitals(text: Column) -> Column:
+    """Whether so many words in capitals follow each other, numbers and signs aside."""
+    return F.coalesce(text.rlike(rf"\p{{Lu}}{{2}}\p{{Lu}}*(?:[^\p{{L}}]+\p{{Lu}}+){{{CAPITALS - 1}}}(?!\p{{Ll}})"), F.lit(False))
+
+
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item windows: hash, item, at; items: item, n_windows, slots; the table both come from), each written once."""
+    text = F.col("text")
+    items = benchmark.select(
+        F.col("item_id").alias("item"), template(text).alias("t"), values(text).alias("v"),
+        window_hashes(template(text, False)).alias("blind"), in_capitals(text).alias("capitals"),
+    )
+    whole = written(items.select("*", window_hashes(F.col("t")).alias("hashes")), "bench-templates")
+    items = whole.filter("hashes is not null")
     aligned = F.size("t") == F.size("v")
     slots = F.filter(
         F.transform("t", lambda w, i: F.struct(i.alias("at"), F.when(aligned, F.get("v", i)).alias("value"), w.alias("w"))),
         lambda s: s["w"].rlike(r"[\x01-\x03]") & s["value"].isNotNull(),
     )
-    items = written(items.select("item", "hashes", F.transform(slots, lambda s: s.dropFields("w")).alias("slots")), "bench-items")
-    windows = written(items.select("item", F.posexplode("hashes").alias("at", "hash")), "bench-windows")
-    return windows, items.select("item", "slots", F.size("hashes").alias("n_windows"))
+    items = written(items.select("item", "hashes", "blind", F.transform(slots, lambda s: s.dropFields("w")).alias("slots")), "bench-items")
+    windows = items.select("item", F.posexplode("hashes").alias("at", "hash")).union(
+        items.select("item", F.posexplode("blind").alias("at", "hash"))
+    )
+    windows = written(windows.distinct(), "bench-windows")
+    return windows, items.select("item", "slots", F.size("hashes").alias("n_windows")), whole
+
+
+def whole_lines(docs: DataFrame, short: DataFrame, digest: Column) -> DataFrame:
+    """(digest, lines: items of which a line of the text has exactly the words). ``short`` is item, v."""
+    items = short.select("item", F.xxhash64("v").alias("hash"), F.col("v").alias("own"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(rf"[^{WS}]"))
+    lines = docs.select(digest, F.explode(F.array_distinct(F.transform(lines, values))).alias("v"))
+    found = lines.join(items, F.xxhash64("v") == items["hash"]).filter(F.col("v") == F.col("own"))
+    return written(found.groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("lines")).select("digest", "lines"), "leaks-lines")
 
 
 def covered(slots: Column, hits: Column) -> Column:
@@ -113,11 +141,15 @@ def consistent(held: Column, ws: Column) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc (struct of the row), items (sorted ids of the items it holds, empty if clean): one row per input row."""
-    windows, items = benchmark_windows(benchmark)
+    windows, items, whole = benchmark_windows(benchmark)
+    short = whole.filter("hashes is null and size(v) > 0").select("item", "v")
     small = windows.count() <= most_broadcast
     digest = F.md5(F.encode(F.col("text"), "UTF-8")).alias("digest")
     spread = docs.select(digest, template(F.col("text")).alias("t")).select("digest", window_hashes(F.col("t")).alias("h"))
     spread = spread.select("digest", F.posexplode("h").alias("pos", "hash"))
+    blind = docs if not whole.filter("capitals").isEmpty() else docs.filter(in_capitals(F.col("text")))
+    blind = blind.select(digest, window_hashes(template(F.col("text"), False)).alias("h"))
+    spread = spread.union(blind.select("digest", F.posexplode("h").alias("pos", "hash")))
     hits = spread.join(F.broadcast(windows) if small else windows, "hash")
     # every place where a window of the item was found, as a set: copies of a text fall together in each task
     hit = F.struct("at", (F.col("pos") - F.col("at")).alias("shift"))
@@ -133,8 +165,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most
     out = docs.select(row, digest).join(held, "digest", "left")
     ws = F.when(F.col("held").isNotNull(), values(F.col("doc.text")))
     good = let(ws, lambda own: F.filter(F.col("held"), lambda h: consistent(h, own)))
-    ids = F.transform(good, lambda h: h["item"])
-    return out.select("doc", F.coalesce(ids, F.array().cast("array<bigint>")).alias("items"))
+    none = F.array().cast("array<bigint>")
+    ids = F.coalesce(F.transform(good, lambda h: h["item"]), none)
+    if not short.isEmpty():
+        out = out.join(whole_lines(docs, short, digest), "digest", "left")
+        ids = F.array_sort(F.concat(ids, F.coalesce("lines", none)))
+    return out.select("doc", ids.alias("items"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
