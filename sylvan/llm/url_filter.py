@@ -1,26 +1,31 @@
 """URL filter by a path-template tree (native: DataFrame functions only).
 
-Every url becomes a path in a tree whose root is the host and whose levels are path segments.  Variable segments
-(numbers, hashes, dates, long ids) generalise to typed wildcards, file suffixes stay.  A node's evidence is the number
-of allowed and blocked urls under it, where a url's label is the verdict of the explicit rules.  A branch whose own
-evidence does not differ from its parent's by more than ``z`` standard errors is merged into the parent, because the
-two are statistically alike.  A template is rejected when its smoothed share of blocked urls reaches ``reject_at``;
-without any labelled url on its way up, the prior decides (allow).
-
-Scale: the evidence is one pre-aggregating ``groupBy`` per tree level over (node) keys, so a host with a third of all
-urls sends one row per task and node.  The joins back are on node keys of the few levels; node tables are broadcast by
-Spark only below its own measured threshold, and AQE splits a hot host's side of a sort-merge join.
+Every url becomes a path in a tree whose root is above all hosts, whose first level are hosts and whose further levels are
+path segments, all of them.  Variable segments (numbers, hashes, dates, long ids) generalise to typed wildcards, file
+suffixes stay.  A node's evidence is the number of allowed and blocked urls under it, where a url's label is the verdict
+of the explicit rules.  The tree is built from the root down.  Of a node's branches, put in order of their share of
+blocked urls, neighbours that differ by no more than ``z`` standard errors are merged, their subtrees too.  A merged branch
+whose evidence does not differ from its parent's share by more than ``z`` standard errors passes that on; else it is a template
+with a smoothed share of its own.  Nodes whose evidence is all of one kind, or none, need no further level.  A template
+is rejected when its share reaches ``reject_at``; without any labelled url on its way up, the prior decides (allow).
+
+Scale: urls are counted by host and generalised path first.  A level costs one pre-aggregating ``groupBy`` over (node,
+branch) of the rows that are still open, so a host with a third of all urls sends one row per task and branch.  Branches
+of one node with equal evidence are one row before they are put in order, so a sort holds a node's different pairs of
+counts, not its branches.  The verdicts go back by a join on host and path; node tables are broadcast by Spark only below
+its own measured threshold, and AQE splits a hot host's side of a sort-merge join.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, is under the root only and so gets the root's
 verdict; page_id may be null or repeated, each input row gives one output row; an empty table gives no rows; further
-columns of the input are ignored, whatever they are called.
+columns of the input are ignored, whatever they are called.  Of rules of equal length that fit, the last in the list wins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import read, written
@@ -34,8 +39,6 @@ RULES = (
     ("block", "com", "/de/"),
 )
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Levels of the tree: root, host, host + 1 segment, host + 2 segments, ...
-DEPTH = 3
 
 
 def host_of(url: Column) -> Column:
@@ -71,9 +74,54 @@ def wildcard(segment: Column) -> Column:
 
 
 def templates(path: Column) -> Column:
-    """The first DEPTH - 1 path segments, generalised."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(F.slice(parts, 1, DEPTH - 1), wildcard)
+    """The path's segments, generalised."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), wildcard)
+
+
+def tree(leaf: DataFrame, prior_weight: int, z: float) -> DataFrame:
+    """(key, share, template) of each generalised url of ``leaf`` (key, host, parts, n, b)."""
+    n, b = leaf.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    rows = leaf.withColumns({
+        "node": F.lit(""), "label": F.lit(""), "template": F.lit(""), "share": F.lit(float(b)) / F.lit(float(max(n, 1)))
+    })
+    answer = ("key", "share", "template")
+    if not 0 < b < n:
+        return rows.select(*answer)
+    done, level = [], 0
+    while True:
+        rows = rows.withColumn("child", F.col("host") if level == 0 else F.get("parts", F.lit(level - 1)))
+        done.append(rows.filter("child is null").select(*answer))
+        rows = rows.filter("child is not null")
+        own = written(rows.groupBy("node", "child").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb")).filter("cn > 0"), "url-branches")
+        pairs = own.groupBy("node", "cn", "cb").agg(F.count("*").alias("k"), F.min("child").alias("first"))
+        # neighbours in the order of shares that are alike belong together
+        order = Window.partitionBy("node").orderBy((F.col("cb") + 0.0) / F.col("cn"), "cn")
+        n1, b1 = F.lag("cn").over(order), F.lag("cb").over(order)
+        pooled = (F.col("cb") + b1 + 0.0) / (F.col("cn") + n1)
+        error = F.sqrt(pooled * (1 - pooled) * (F.lit(1.0) / F.col("cn") + F.lit(1.0) / n1))
+        apart = F.abs((F.col("cb") + 0.0) / F.col("cn") - (b1 + 0.0) / n1) > z * error
+        pairs = pairs.withColumn("cut", F.coalesce(apart, F.lit(False)).cast("int"))
+        pairs = pairs.withColumn("g", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        groups = pairs.groupBy("node", "g").agg(
+            F.sum(F.col("cn") * F.col("k")).alias("gn"), F.sum(F.col("cb") * F.col("k")).alias("gb"), F.sum("k").alias("k"), F.min("first").alias("first")
+        )
+        branch = own.join(pairs.select("node", "cn", "cb", "g"), ["node", "cn", "cb"]).join(groups, ["node", "g"])
+        found = rows.join(branch.drop("cn", "cb"), ["node", "child"], "left")
+        differs = F.abs(F.col("gb") - F.col("gn") * F.col("share")) > z * F.sqrt(F.col("gn") * F.col("share") * (1 - F.col("share")))
+        more = F.when(F.col("k") > 1, F.concat(F.lit("|+"), (F.col("k") - 1).cast("string"))).otherwise("")
+        label = F.concat("label", F.when(F.col("node") == "", "").otherwise("/"), "first", more)
+        keep = F.coalesce(differs, F.lit(False))
+        found = found.withColumns({
+            "share": F.when(keep, (F.col("gb") + F.col("share") * prior_weight) / (F.col("gn") + prior_weight)).otherwise(F.col("share")),
+            "template": F.when(keep, label).otherwise(F.col("template")), "label": label,
+            "node": F.concat("node", F.lit("/"), F.col("g").cast("string")),
+            "mixed": F.coalesce((F.col("gb") > 0) & (F.col("gb") < F.col("gn")), F.lit(False)),
+        })
+        found = written(found.select("key", "host", "parts", "n", "b", "node", "label", "template", "share", "mixed"), "url-level")
+        done.append(found.filter("not mixed").select(*answer))
+        rows, level = found.filter("mixed").drop("mixed"), level + 1
+        if rows.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def filter_urls(
@@ -88,35 +136,13 @@ def filter_urls(
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parts = templates(F.col("path"))
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("label"), parts.alias("parts"))
-    # node k of a url: its host and the first k - 1 template segments; a short path repeats its deepest node
-    base = base.withColumn("n0", F.lit("")).withColumn("n1", F.col("host"))
-    for k in range(2, DEPTH + 1):
-        deeper = F.concat_ws("/", F.col("host"), F.slice("parts", 1, k - 1))
-        base = base.withColumn(f"n{k}", F.when(F.size("parts") >= k - 1, deeper).otherwise(F.col(f"n{k - 1}")))
-    nodes = [f"n{k}" for k in range(DEPTH + 1)]
-    base = base.drop("parts")
-
+    # a host has no slash and a segment none, so the key is unambiguous
+    base = base.withColumn("key", F.concat_ws("/", "host", F.concat_ws("/", "parts")))
     labelled = F.col("label").isNotNull().cast("long")
-    blocked = (F.col("label") == "block").cast("long")
-    leaf = written(
-        base.groupBy(*nodes).agg(F.sum(labelled).alias("n"), F.sum(F.coalesce(blocked, F.lit(0))).alias("b")),
-        "url-templates",
-    )
-    tree = leaf
-    for k in range(DEPTH):
-        level = leaf.groupBy(nodes[k]).agg(F.sum("n").alias(f"s{k}"), F.sum("b").alias(f"b{k}"))
-        tree = tree.join(level if k else F.broadcast(level), nodes[k])  # the root's table is one row
-    tree = tree.withColumnsRenamed({"n": f"s{DEPTH}", "b": f"b{DEPTH}"})
-    # from the root down: a node keeps its own share of blocked urls only if that differs from its parent's
-    share, template = (F.col("b0") + 0.0) / F.greatest(F.col("s0"), F.lit(1)), F.lit("")
-    for k in range(1, DEPTH + 1):
-        n, b = F.col(f"s{k}"), F.col(f"b{k}")
-        own = (b + share * prior_weight) / (n + prior_weight)
-        apart = F.abs(b - n * share) > z * F.sqrt(n * share * (1 - share))
-        share, template = F.when(apart, own).otherwise(share), F.when(apart, F.col(f"n{k}")).otherwise(template)
-    judged = tree.select(*nodes, share.alias("share"), template.alias("template"))
-    judged = written(judged, "url-verdicts")
-    out = base.join(judged, nodes, "left")
+    blocked = F.coalesce((F.col("label") == "block").cast("long"), F.lit(0))
+    leaf = base.groupBy("key", "host", "parts").agg(F.sum(labelled).alias("n"), F.sum(blocked).alias("b"))
+    judged = written(tree(written(leaf, "url-templates"), prior_weight, z), "url-verdicts")
+    out = base.join(judged, "key", "left")
     method = F.when(F.col("share") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(
         "page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), "template", "share"
@@ -129,7 +155,7 @@ def op4_url_filter(spark, sf_dir):
 
 
 ORACLE = """
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), h AS (
   SELECT page_id,
@@ -142,7 +168,7 @@ WITH u AS (
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
-    list_transform(list_filter(string_split(path, '/'), lambda s: s <> '')[1:2], lambda s: CASE
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
       WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$') THEN '{date}'
       WHEN regexp_matches(s, '^[0-9]+$') THEN '{n}'
       WHEN regexp_matches(s, '^[0-9]+\\.[a-z]+$') THEN '{n}' || regexp_extract(s, '(\\.[a-z]+)$', 1)
@@ -151,23 +177,44 @@ WITH u AS (
   FROM h
 ), n AS (
   SELECT *, CASE WHEN rule IS NOT NULL THEN 1 ELSE 0 END AS l,
-    CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 1 ELSE 0 END AS b,
-    host AS n1, CASE WHEN len(parts) >= 1 THEN host || '/' || parts[1] ELSE host END AS n2,
-    CASE WHEN len(parts) >= 2 THEN host || '/' || parts[1] || '/' || parts[2]
-         WHEN len(parts) = 1 THEN host || '/' || parts[1] ELSE host END AS n3 FROM r
+    CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 1 ELSE 0 END AS b FROM r
+), leaf AS (
+  SELECT host, parts, sum(l)::BIGINT AS n, sum(b)::BIGINT AS b FROM n GROUP BY ALL
 ), t AS (
-  SELECT *, sum(l) OVER () AS s0, sum(b) OVER () AS b0, sum(l) OVER (PARTITION BY n1) AS s1, sum(b) OVER (PARTITION BY n1) AS b1,
-    sum(l) OVER (PARTITION BY n2) AS s2, sum(b) OVER (PARTITION BY n2) AS b2,
-    sum(l) OVER (PARTITION BY n1, n2, n3) AS s3, sum(b) OVER (PARTITION BY n1, n2, n3) AS b3 FROM n
-), w0 AS (SELECT *, cast(b0 AS DOUBLE) / greatest(s0, 1) AS p0 FROM t
-), w1 AS (SELECT *, abs(b1 - s1 * p0) > 2.0::DOUBLE * sqrt(s1 * p0 * (1 - p0)) AS a1, (b1 + p0 * 4) / (s1 + 4) AS q1 FROM w0
-), v1 AS (SELECT *, CASE WHEN a1 THEN q1 ELSE p0 END AS p1, CASE WHEN a1 THEN n1 ELSE '' END AS t1 FROM w1
-), w2 AS (SELECT *, abs(b2 - s2 * p1) > 2.0::DOUBLE * sqrt(s2 * p1 * (1 - p1)) AS a2, (b2 + p1 * 4) / (s2 + 4) AS q2 FROM v1
-), v2 AS (SELECT *, CASE WHEN a2 THEN q2 ELSE p1 END AS p2, CASE WHEN a2 THEN n2 ELSE t1 END AS t2 FROM w2
-), w3 AS (SELECT *, abs(b3 - s3 * p2) > 2.0::DOUBLE * sqrt(s3 * p2 * (1 - p2)) AS a3, (b3 + p2 * 4) / (s3 + 4) AS q3 FROM v2
-), v3 AS (SELECT *, CASE WHEN a3 THEN q3 ELSE p2 END AS p3, CASE WHEN a3 THEN n3 ELSE t2 END AS template FROM w3)
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IS NOT NULL THEN CASE WHEN b = 1 THEN 'block' ELSE 'allow' END
-       WHEN p3 >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, template
-FROM v3
+  SELECT host, parts, n, b, '' AS node, '' AS label, '' AS template, s AS share, 0 AS level, tb > 0 AND tb < tn AS mixed
+  FROM leaf, (SELECT sum(n) AS tn, sum(b) AS tb, sum(b)::DOUBLE / greatest(sum(n), 1) AS s FROM leaf)
+  UNION ALL
+  SELECT host, parts, n, b, node || '/' || g, label2, CASE WHEN keep THEN label2 ELSE template END,
+    CASE WHEN keep THEN (gb + share * 4) / (gn + 4) ELSE share END, level + 1, coalesce(gb > 0 AND gb < gn, false)
+  FROM (
+    SELECT *, coalesce(abs(gb - gn * share) > 2.0::DOUBLE * sqrt(gn * share * (1 - share)), false) AS keep,
+      label || CASE WHEN node = '' THEN '' ELSE '/' END || first || CASE WHEN k > 1 THEN '|+' || (k - 1) ELSE '' END AS label2
+    FROM (
+      SELECT *, CASE WHEN cn > 0 THEN (sum(n) OVER w)::BIGINT END AS gn, CASE WHEN cn > 0 THEN (sum(b) OVER w)::BIGINT END AS gb,
+        min(child) OVER w AS first, count(DISTINCT child) OVER w AS k
+      FROM (
+        SELECT *, sum(cut) OVER (PARTITION BY node, cn > 0 ORDER BY sh, cn, child, host, parts ROWS UNBOUNDED PRECEDING) AS g
+        FROM (
+          SELECT *, CASE WHEN abs(sh - lag(sh) OVER v) > 2.0::DOUBLE * sqrt(pooled * (1 - pooled) * (1.0::DOUBLE / cn + 1.0::DOUBLE / lag(cn) OVER v)) THEN 1 ELSE 0 END AS cut
+          FROM (
+            SELECT *, (cb + lag(cb) OVER v)::DOUBLE / (cn + lag(cn) OVER v) AS pooled
+            FROM (
+              SELECT *, cb::DOUBLE / nullif(cn, 0) AS sh FROM (
+                SELECT *, sum(n) OVER (PARTITION BY node, child) AS cn, sum(b) OVER (PARTITION BY node, child) AS cb
+                FROM (SELECT *, CASE WHEN level = 0 THEN host ELSE parts[level] END AS child FROM t WHERE mixed)
+                WHERE child IS NOT NULL
+              )
+            ) WINDOW v AS (PARTITION BY node, cn > 0 ORDER BY sh, cn, child, host, parts)
+          ) WINDOW v AS (PARTITION BY node, cn > 0 ORDER BY sh, cn, child, host, parts)
+        )
+      ) WINDOW w AS (PARTITION BY node, cn > 0, g)
+    )
+  )
+), d AS (
+  SELECT host, parts, arg_max(share, level) AS share, arg_max(template, level) AS template FROM t GROUP BY ALL
+)
+SELECT page_id, n.host, path, rule,
+  CASE WHEN rule IS NOT NULL THEN CASE WHEN n.b = 1 THEN 'block' ELSE 'allow' END
+       WHEN share >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, template
+FROM n JOIN d ON n.host = d.host AND n.parts = d.parts
 """

@@ -271,6 +271,8 @@ def test_long_words_are_scored_whole():
 def test_urls_against_sql(spark, tmp_path):
     urls = ["http://A.Example.org/es/1?x", "https://b.example.org/en/12", "ftp://x.org", "http://x.org/", "http://q.com/fr/9#t", "q.com/de/1", None, "",
             "http://q.com/de/1", "http://q.com/en/5", "http://q.com?u=://z.org/", "://", "http://y.net/2024-01-02/a.html", "http://y.net/7.html"] * 3
+    urls += [f"http://deep.com/{s}/en/{w}/a/b/{k}" for s, w in (("x", "de"), ("de", "x"), ("fr", "y")) for k in range(20)]
+    urls += [f"http://k{k}.com/{'de' if k % 2 else 'fr'}/{j}" for k in range(20) for j in range(6)] + [f"http://k{k}.com/other/{j}/q" for k in range(20) for j in range(2)]
     urls += [f"http://spam.com/de/{k}" for k in range(30)] + [f"http://spam.com/xx/{k}" for k in range(5)]
     df = spark.createDataFrame([(k % 50, u, "h", 1) for k, u in enumerate(urls)], "page_id long, url string, html string, share int")
     df.write.parquet(str(tmp_path / "pages.parquet"))
@@ -284,3 +286,19 @@ def test_urls_against_sql(spark, tmp_path):
 
 def test_urls_of_nothing(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_templates_below_the_second_segment(spark):
+    """Rules that block a deep branch only: unlabelled urls get the verdict of their own branch; like siblings are merged."""
+    rules = (("block", "shop.com", "/a/b/casino/"), ("allow", "shop.com", "/a/b/garden/"), ("allow", "other.com", "/"))
+    urls = [f"http://shop.com/a/b/casino/{k}/x.html" for k in range(30)] + [f"http://shop.com/a/b/garden/{k}/x.html" for k in range(30)]
+    urls += [f"http://other.com/{k}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.filter_urls(df, rules).collect()
+    shares = {w: {r.share for r in found if w in r.path or w in r.host} for w in ("casino", "garden", "other")}
+    assert min(shares["casino"]) >= 0.5 > max(shares["garden"] | shares["other"])
+    assert {r.template for r in found if "casino" in r.path} == {"shop.com/a/b/casino"}
+    sites = [("block", f"s{k}.net", "/bad/") for k in range(4)] + [("allow", f"s{k}.net", "/good/") for k in range(4)]
+    urls = [f"http://s{k}.net/{w}/{j}" for k in range(4) for w in ("bad", "good") for j in range(10)]
+    found = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), sites).collect()
+    assert {r.template for r in found if "bad" in r.path} == {"s0.net|+3/bad"}
