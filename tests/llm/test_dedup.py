@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sylvan.llm import ngram_join, substring_dedup
@@ -40,6 +41,46 @@ def test_substrings_against_brute_force(docs, rows, least, block, bin_):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in found)
 
 
+def test_factors_point_at_earlier_windows(docs, rows):
+    """Every factor's windows start in smaller documents; its entry is its first window; together they cover what is removed."""
+    least, block = 5, 3000
+    found = substring_dedup.dedup_substrings(docs, least, block, 1 << 20).collect()
+    edges, _ = substring_dedup.block_edges(docs, block)
+    place = lambda i: sum(e <= i for e in edges)
+    starts = {}
+    for i, t, *_ in rows:
+        for k in range(len(words(t)) - least + 1) if i is not None else ():
+            starts.setdefault(tuple(words(t)[k : k + least]), set()).add(i)
+    hashes = lambda grams: {g: int(substring_dedup.windows_of(*substring_dedup.buffers(pa.array([" ".join(g)])), least)[3][0]) for g in grams}
+    index = {b: sorted(hashes({g for g, ids in starts.items() if any(place(i) == b for i in ids)}).values()) for b in range(len(edges) + 1)}
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, []).append(words(t))
+    assert sum(len(r.factors) for r in found) > 5 and any(f.block < place(r.doc_id) for r in found for f in r.factors)
+    for r in found:
+        w = next(x for x in texts[r.doc_id] if len(x) == r.n_words)
+        gone = {k for f in r.factors for k in range(f.start, f.start + f.length)}
+        assert len(gone) == r.n_removed and all(f.length >= least for f in r.factors)
+        for f in r.factors:
+            grams = [tuple(w[k : k + least]) for k in range(f.start, f.start + f.length - least + 1)]
+            assert all(min(starts[g]) < r.doc_id and place(min(starts[g])) == f.block for g in grams)
+            assert index[f.block][f.entry] == hashes(grams[:1])[grams[0]]
+
+
+def test_windows_pack():
+    rng = np.random.default_rng(8)
+    for n, top in ((1, 2**63), (2, 2**63), (5000, 2**63), (5000, 2**50), (3, 2**64 - 1)):
+        x = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert (substring_dedup.unpack_windows(substring_dedup.pack_windows(x)) == x).all()
+
+
+def test_query_of_substrings(tmp_path, docs, rows, spark):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = substring_dedup.op3_substring_dedup(spark, str(tmp_path)).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str)
+    assert got == sorted(((r[0], r[1], r[2], r[3]) for r in removed(rows, 13)), key=str)
+
+
 def test_substrings_of_nothing(empty):
     assert substring_dedup.dedup_substrings(empty).collect() == []
 
