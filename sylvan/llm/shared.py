@@ -1,56 +1,19 @@
-"""Helpers that the operators of this subpackage share.
-
-Intermediate results that are read more than once are written to the folder that the cluster names in
-``spark.checkpoint.dir``: a lost executor then costs a re-read, never a recomputation from a dead local disk.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.sources.workspace import forget, shared_dir, written
+
+__all__ = ["WORD", "WS", "forget", "let", "read", "scan_partitions", "shared_dir", "words", "written"]
+
 #: ASCII white space that separates words, as the inside of a character class.
 WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a folder of our own only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = spark.conf.get("sylvan.shared.dir", None)
-        if found is None:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
-            spark.conf.set("sylvan.shared.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylvan-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.written_to = path
-    return found
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that no later plan reads."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once a row: an expression inside a lambda runs for every element."""
     return F.transform(F.array(value), body)[0]

@@ -38,3 +38,17 @@ def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_of_nothing_and_of_repeated_rows(spark, tmp_path, empty, docs, rows):
+    bench = spark.createDataFrame([(1, "an item that no document has in it anywhere at all")], "item_id long, text string")
+    for name, table in (("none", empty), ("some", docs)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, empty, f"{tmp_path}/none")
+        assert out.columns == empty.columns and out.collect() == []
+    found = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = [r.doc_id for r in found]
+    assert found and all(r.text_back for r in found) and len(set(ids)) == len(ids)  # of equal rows one stays
