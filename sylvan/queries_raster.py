@@ -69,10 +69,13 @@ def a04_class2_terrain(spark, sf):
 GROUND = with_sql("points") + f""", k AS (SELECT plot_id, row_, col, min(z) AS h FROM (SELECT *, {CLIP} FROM points) WHERE cls = 2 GROUP BY ALL)"""
 
 
-@query(GROUND + """, w AS (SELECT plot_id, CAST(r AS INT) AS row_, CAST(q AS INT) AS col FROM (SELECT DISTINCT plot_id FROM k), range(0, 60) a(r), range(0, 60) b(q))
-SELECT plot_id, row_, col, m.v AS h, m.d2 AS d2 FROM (
+FILLED = GROUND + """, w AS (SELECT plot_id, CAST(r AS INT) AS row_, CAST(q AS INT) AS col FROM (SELECT DISTINCT plot_id FROM k), range(0, 60) a(r), range(0, 60) b(q)),
+ filled AS (SELECT plot_id, row_, col, m.v AS h, m.d2 AS d2 FROM (
   SELECT w.plot_id, w.row_, w.col, min({'d2': (k.row_-w.row_)*(k.row_-w.row_)+(k.col-w.col)*(k.col-w.col), 'kr': k.row_, 'kc': k.col, 'v': k.h}) AS m
-  FROM w JOIN k USING (plot_id) GROUP BY ALL)""")
+  FROM w JOIN k USING (plot_id) GROUP BY ALL))"""
+
+
+@query(FILLED + " SELECT plot_id, row_, col, h, d2 FROM filled")
 def j10_nearest_fill(spark, sf):
     known = ground_minimum(spark, sf)
     at = F.explode(F.sequence(F.lit(0), F.lit(59)))
@@ -85,7 +88,14 @@ def ground_minimum(spark, sf):
     return cells.groupBy("plot_id", "row_", "col").agg(F.min("z").alias("h"))
 
 
-@query()
+def mirrored_sql(table: str, reach: int, aggregate: str) -> str:
+    """An aggregate over square windows of a 60 x 60 raster whose border is mirrored outwards."""
+    at = lambda v: f"CASE WHEN {v} < 0 THEN -1 - ({v}) WHEN {v} > 59 THEN 119 - ({v}) ELSE {v} END"
+    return f"""SELECT f.plot_id, f.row_, f.col, {aggregate} AS h FROM {table} f, range({-reach}, {reach + 1}) a(da), range({-reach}, {reach + 1}) b(db)
+  JOIN {table} g ON g.plot_id = f.plot_id AND g.row_ = {at('f.row_ + da')} AND g.col = {at('f.col + db')} GROUP BY ALL"""
+
+
+@query(FILLED + f", low AS ({mirrored_sql('filled', 2, 'min(g.h)')}) {mirrored_sql('low', 4, 'quantile_cont(g.h, 0.5)')}")
 def a05_lower_envelope(spark, sf):
     known = ground_minimum(spark, sf)
     at = F.explode(F.sequence(F.lit(0), F.lit(59)))
@@ -276,7 +286,10 @@ def r02_pit_fill(spark, sf):
     return focal.pit_fill(written(chm(spark, sf), "raster"), 3, 1.0)
 
 
-@query()
+@query(with_sql("chm") + """, pad AS (SELECT k.plot_id, CAST(r2 AS INT) AS r2, CAST(c2 AS INT) AS c2, k.h FROM (SELECT DISTINCT plot_id FROM chm) p, range(-2, 62) a(r2), range(-2, 62) b(c2)
+  JOIN chm k ON k.plot_id = p.plot_id AND k.row_ = greatest(0, least(59, r2)) AND k.col = greatest(0, least(59, c2)))
+ SELECT k.plot_id, k.row_, k.col, round(sum(exp(-(da*da + db*db)/(2.0::DOUBLE*0.25::DOUBLE))*pad.h)/sum(exp(-(da*da + db*db)/(2.0::DOUBLE*0.25::DOUBLE))), 6) AS h
+ FROM chm k, range(-2, 3) x(da), range(-2, 3) y(db) JOIN pad ON pad.plot_id = k.plot_id AND r2 = k.row_ + da AND c2 = k.col + db GROUP BY ALL""")
 def r03_gaussian(spark, sf):
     return focal.gaussian(chm(spark, sf), 0.5).select("plot_id", "row_", "col", r6(c("h"), "h"))
 
