@@ -36,13 +36,19 @@ DISCOUNT = 0.7
 MEMO = 300_000
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 @cache
-def letters() -> re.Pattern:
-    """Runs of letters: word characters without digits, underscore and the numerals that count as word characters."""
-    other = (chr(c) for c in range(0x110000))
-    numerals = "".join(c for c in other if c.isalnum() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
-    return re.compile(rf"[^\W\d_{re.escape(numerals)}]+")
+def numerals() -> frozenset[str]:
+    """Word characters that are neither letters nor decimal digits, such as one half or a Roman numeral sign."""
+    every = (chr(c) for c in range(0x110000))
+    return frozenset(c for c in every if c.isalnum() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
+
 
+def parted(word: str) -> list[str]:
+    """The runs of letters of a word that has numerals."""
+    return "".join(" " if c in numerals() else c for c in word).split()
 
 
 def remainder(doc_id: Column) -> Column:
@@ -131,11 +137,14 @@ class Scorer:
         """(summed scores, number of words) of each text."""
         if len(self.row) > MEMO:
             self.reset()
-        find = letters().findall
-        split = [find(t.lower()) for t in texts]
-        counts = np.array([len(s) for s in split])
+        split = [LETTERS.findall(t.lower()) for t in texts]
         row = self.row
         unseen = list(dict.fromkeys(w for s in split for w in s if w not in row))
+        odd = {w: parted(w) for w in unseen if not numerals().isdisjoint(w)}
+        if odd:
+            split = [[p for w in s for p in odd.get(w, (w,))] for s in split]
+            unseen = list(dict.fromkeys(w for s in split for w in s if w not in row))
+        counts = np.array([len(s) for s in split])
         if unseen:
             self.learn(unseen)
         at = np.fromiter((row[w] for s in split for w in s), np.int64, int(counts.sum()))
