@@ -165,14 +165,14 @@ def ratio(token: str, automata: list[list[dict]], ordinary: dict[str, float]) ->
 
 def format_spans(run: str, model: dict, least_ratio: float) -> list[tuple[int, int]]:
     """(start, end) of the run, or of its largest parts, that an automaton explains."""
+    tried: set[tuple[int, int]] = set()
     for part in PARTS:
         spans = [m.span() for m in part.finditer(run)]
-        found = [
-            (a, b) for a, b in spans
-            if b - a >= min(LEAST.values()) and ratio(run[a:b], model["automata"], model["ordinary"]) >= least_ratio
-        ]
+        fresh = [(a, b) for a, b in spans if b - a >= min(LEAST.values()) and (a, b) not in tried]
+        found = [(a, b) for a, b in fresh if ratio(run[a:b], model["automata"], model["ordinary"]) >= least_ratio]
         if found:
             return found
+        tried.update(fresh)
     return []
 
 
