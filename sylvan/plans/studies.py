@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvan.functions import parameters
+from sylvan.operators import search
 
 
 def first_in_cell(heights: DataFrame) -> DataFrame:
@@ -29,6 +30,15 @@ def latin_hypercube(spark: SparkSession, n: int, dimensions: int, seed: int) ->
     return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(u)], "candidate_id long, u array<double>")
 
 
+def initial_candidates(spark: SparkSession, n: int, seed: int, profile: str = "broad", tune_min_height: bool = False) -> DataFrame:
+    """The baseline first (candidate 0), then decoded designs; of equal parameter sets the first stays."""
+    names = list(parameters.BASELINE)
+    designs = parameters.named(parameters.decode(latin_hypercube(spark, n, 9, seed), profile), tune_min_height)
+    designs = designs.select((F.col("candidate_id") + 1).alias("candidate_id"), *names)
+    base = spark.range(1).select(F.lit(0).cast("bigint").alias("candidate_id"), *[F.lit(v).alias(k) for k, v in parameters.BASELINE.items()])
+    return search.first_of_equal(base.unionByName(designs), "candidate_id", *names)
+
+
 def scored_designs(spark: SparkSession, n: int, dimensions: int, seed: int) -> DataFrame:
     """Designs with scores of three sources, a smooth function of the design: a study to propose from."""
     peak = lambda a: F.exp(-F.aggregate("u", F.lit(0.0), lambda s, x: s + (x - a) * (x - a)))

@@ -11,6 +11,7 @@ from sylvan.operators import matching, rasterize, search
 from sylvan.plans import evaluation, routing, studies
 from sylvan.queries_raster import c, chm, heights, r6
 from sylvan.sources.workspace import written
+from sylvan.sources import manifest
 from sylvan.sources.tables import plots, points, read, tree_summary, trials, with_sql
 
 QUERIES: dict = {}
@@ -318,6 +319,13 @@ def j15_unfinished(spark, sf):
     return search.unfinished(t.select("candidate_id").distinct(), t.filter("source = 'click'"))
 
 
+@query(with_sql("plots") + """ SELECT plot_id, CASE WHEN b IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT plot_id, 1 AS a FROM plots WHERE collection <> 'ASIA')
+ FULL JOIN (SELECT plot_id, 1 AS b FROM plots WHERE collection <> 'EUROPE') USING (plot_id) WHERE a IS NULL OR b IS NULL""")
+def j13_unmapped(spark, sf):
+    p = plots(spark, sf)
+    return manifest.unmapped(p.filter("collection <> 'ASIA'"), p.filter("collection <> 'EUROPE'"), "plot_id")
+
+
 @query(with_sql("plots", "points") + " SELECT plot_id, collection, count(*) AS n FROM points JOIN plots USING (plot_id) GROUP BY ALL")
 def j13_source_mapping(spark, sf):
     return points(spark, sf).join(plots(spark, sf), "plot_id").groupBy("plot_id", "collection").agg(F.count("*").alias("n"))
@@ -438,7 +446,7 @@ def h10_score_vectors(spark, sf):
 
 @query()
 def h05_initial_designs(spark, sf):
-    return studies.latin_hypercube(spark, 12, 8, 20260921)
+    return studies.initial_candidates(spark, 12, 20260921)
 
 
 @query()
@@ -500,11 +508,8 @@ def h17_candidates_by_fold(spark, sf):
 
 
 def study(spark, sf, n=3):
-    """A small study: the baseline and some designs on all plots' rasters."""
-    base = parameters.BASELINE
-    designs = parameters.named(parameters.decode(studies.latin_hypercube(spark, n, 9, 20260921)))
-    first = spark.range(1).select(F.lit(-1).cast("bigint").alias("candidate_id"), *[F.lit(v).alias(k) for k, v in base.items()])
-    return first.unionByName(designs.select("candidate_id", *base))
+    """A small study: the baseline and some designs."""
+    return studies.initial_candidates(spark, n, 20260921)
 
 
 @query()
@@ -518,7 +523,7 @@ def h11_candidate_evaluation(spark, sf):
 @query()
 def h15_route_and_run(spark, sf):
     route = h15_nearest_class(spark, sf)
-    frozen = study(spark, sf, 2).withColumn("class_index", (c("candidate_id") + 1).cast("int")).drop("candidate_id")
+    frozen = study(spark, sf, 2).withColumn("class_index", c("candidate_id").cast("int")).drop("candidate_id")
     g, ignored, _ = crown_tables(spark, sf)
     found = evaluation.evaluate(written(chm(spark, sf), "raster"), g, ignored, evaluation.routed(route, frozen), "class_index")
     return found.select("class_index", "status", F.round("score", 6).alias("score"))
@@ -529,7 +534,7 @@ def h16_transfer_evaluation(spark, sf):
     """The baseline, frozen, on the plots of another collection."""
     there = plots(spark, sf).filter("collection = 'ASIA'").select("plot_id")
     keep = lambda d: d.join(there, "plot_id", "left_semi")
-    runs = evaluation.runs_of(study(spark, sf).filter("candidate_id = -1"), there)
+    runs = evaluation.runs_of(study(spark, sf).filter("candidate_id = 0"), there)
     g, ignored, _ = crown_tables(spark, sf)
     found = evaluation.evaluate(written(keep(chm(spark, sf)), "raster"), keep(g), keep(ignored), runs, "candidate_id")
     return found.select("candidate_id", "status", F.round("score", 6).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.functions.scalar import finite, without_year
@@ -82,3 +82,16 @@ def protocol(work: DataFrame, tops: DataFrame, crowns: DataFrame, key: str) -> D
     found = work.join(there(tops, "_t"), key, "left").join(there(crowns, "_c"), key, "left")
     n = F.coalesce("_t", F.lit(0)) + F.coalesce("_c", F.lit(0))
     return found.select(key, F.when(n == 2, "skipped").when(n == 1, "error").otherwise("run").alias("status"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and SHA-256 of each file under a path, in any store that Spark reads."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def unmapped(listed: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """Keys that have no mapping, and mappings without a listed key, with what is wrong: should be none."""
+    a = listed.select(key).distinct().withColumn("_a", F.lit(1))
+    b = mapping.select(key).distinct().withColumn("_b", F.lit(1))
+    wrong = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra")
+    return a.join(b, key, "full").select(key, wrong.alias("problem")).filter("problem is not null")

@@ -60,3 +60,69 @@ def write_json(spark: SparkSession, value, path: str) -> None:
     """Canonical JSON (sorted keys) as one text file."""
     text = json.dumps(json_safe(value), sort_keys=True)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def content(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and a sum of their hashes, the same however rows are ordered."""
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(hashed), F.lit(0))).first()
+    return n, int(total)
+
+
+def write_together(tables: dict[str, tuple[DataFrame, list[str]]], overwrite: bool = False, same_keys: bool = False) -> dict[str, int]:
+    """Replaces several tables (path: rows and key) together or not at all; returns the rows of each.
+
+    All are staged first, read back and compared with what was to be written; keys must be unique, and with ``same_keys`` the
+    tables must hold the same ones.  Old tables are put aside and come back if any rename fails.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    token, staged, counts = uuid.uuid4().hex, {}, {}
+    system, _, make = file_system(spark, next(iter(tables)))
+    taken = [p for p in tables if system.exists(make(p))]
+    if taken and not overwrite:
+        raise FileExistsError(", ".join(taken))
+    try:
+        for path, (df, keys) in tables.items():
+            staged[path] = f"{path}.staged-{token}"
+            df.write.parquet(staged[path])
+            back = spark.read.parquet(staged[path])
+            if content(back) != content(df.select(*back.columns)):
+                raise ValueError(f"{path} reads back otherwise than it was written")
+            counts[path], distinct = back.agg(F.count("*"), F.countDistinct(*keys)).first()
+            if counts[path] != distinct:
+                raise ValueError(f"{path}: {counts[path] - distinct} rows repeat a key of {keys}")
+        if same_keys:
+            held = [content(spark.read.parquet(staged[p]).select(*keys)) for p, (_, keys) in tables.items()]
+            if any(h != held[0] for h in held):
+                raise ValueError("the tables hold different keys")
+    except BaseException:
+        for path in staged.values():
+            system.delete(make(path), True)
+        raise
+    aside: list[str] = []
+    placed: list[str] = []
+    try:
+        for path in taken:
+            if not system.rename(make(path), make(f"{path}.old-{token}")):
+                raise OSError(f"{path} can't be put aside")
+            aside.append(path)
+        for path, new in staged.items():
+            if not system.rename(make(new), make(path)):
+                raise OSError(f"{path} can't be put in place")
+            placed.append(path)
+    except BaseException:
+        for path in placed:
+            system.delete(make(path), True)
+        for path in aside:
+            system.rename(make(f"{path}.old-{token}"), make(path))
+        raise
+    for path in aside:
+        system.delete(make(f"{path}.old-{token}"), True)
+    return counts
+
+
+def write_report(df: DataFrame, path: str, *order: str) -> None:
+    """A small report as one CSV file with a header, in a fixed order of rows; numbers that are not finite are empty."""
+    doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
+    columns = [F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
+    df.select(*columns).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -155,3 +155,36 @@ def test_evaluation_of_candidates_in_one_job(spark):
     found = {r.candidate_id: r for r in evaluation.evaluate(raster, gt, gt.limit(0), runs, "candidate_id", plots=plots).collect()}
     assert [found[k].status for k in range(3)] == ["complete", "complete", "failed"]
     assert found[0].score == 1.0 and found[0].source_balanced_pq == 1.0 and found[1]["recall@0.50"] <= 0.5 and found[2].score == -1.0
+
+
+def test_tables_are_replaced_together_or_not(spark, tmp_path):
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    rows = spark.createDataFrame([(1, 1.0), (2, float("nan"))], "k long, v double")
+    assert sinks.write_together({a: (rows, ["k"]), b: (rows, ["k"])}, same_keys=True) == {a: 2, b: 2}
+    with pytest.raises(FileExistsError):
+        sinks.write_together({a: (rows, ["k"])})
+    more = rows.union(spark.createDataFrame([(3, 2.0)], "k long, v double"))
+    for bad, keys in ((more, True), (more.union(rows), False)):
+        with pytest.raises(ValueError):
+            sinks.write_together({a: (more, ["k"]) if not keys else (rows, ["k"]), b: (bad, ["k"])}, overwrite=True, same_keys=keys)
+        assert sinks.existing_rows(spark, a) == sinks.existing_rows(spark, b) == 2
+    assert sinks.write_together({a: (more, ["k"]), b: (more, ["k"])}, overwrite=True, same_keys=True) == {a: 3, b: 3}
+    assert sorted(os.listdir(tmp_path)) == ["a", "b"]
+
+
+def test_reports_and_digests(spark, tmp_path):
+    import hashlib
+
+    from sylvan.sources import manifest
+
+    sinks.write_report(spark.createDataFrame([(2, float("nan")), (1, 0.5)], "k long, v double"), f"{tmp_path}/r", "k")
+    (file,) = [f"{tmp_path}/r/{n}" for n in os.listdir(f"{tmp_path}/r") if n.endswith(".csv")]
+    with open(file, "rb") as f:
+        data = f.read()
+    assert data.decode().split() == ["k,v", "1,0.5", "2,"] or data.decode().split() == ["k,v", "1,0.5", '2,""']
+    assert [r.sha256 for r in manifest.file_digests(spark, file).collect()] == [hashlib.sha256(data).hexdigest()]
+
+
+def test_the_baseline_is_the_first_candidate(spark):
+    found = studies.initial_candidates(spark, 6, 1).orderBy("candidate_id").collect()
+    assert [r.candidate_id for r in found] == list(range(7)) and all(found[0][k] == v for k, v in parameters.BASELINE.items())
