@@ -21,14 +21,16 @@ def structural_features(raster: DataFrame, canopy: float = 2.0) -> DataFrame:
     )
 
 
-def scaled(features: DataFrame) -> DataFrame:
-    """Each feature less its median, over its interquartile range (1 where that is 0); exact quantiles, one row of them."""
-    q = features.agg(*[F.expr(f"percentile({f}, array(0.25, 0.5, 0.75))").alias(f"q_{f}") for f in FEATURES])
-    out = features.join(F.broadcast(q))  # one row
-    spread = lambda f: F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]
-    return out.select(
-        "plot_id", *FEATURES, *[((F.col(f) - F.col(f"q_{f}")[1]) / F.when(spread(f) == 0, 1.0).otherwise(spread(f))).alias(f"s_{f}") for f in FEATURES]
-    )
+def scaler(features: DataFrame) -> dict[str, tuple[float, float]]:
+    """Median and interquartile range (1 where that is 0) of each feature, exact: one row of numbers, to be kept for other tables."""
+    q = features.agg(*[F.expr(f"percentile({f}, array(0.25, 0.5, 0.75))").alias(f) for f in FEATURES]).first()
+    return {f: (q[f][1], (q[f][2] - q[f][0]) or 1.0) if q[f] else (0.0, 1.0) for f in FEATURES}
+
+
+def scaled(features: DataFrame, frozen: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Each feature less its median, over its interquartile range; by the table's own scaler or one that was kept."""
+    own = scaler(features) if frozen is None else frozen
+    return features.select("plot_id", *FEATURES, *[((F.col(f) - own[f][0]) / own[f][1]).alias(f"s_{f}") for f in FEATURES])
 
 
 def route(features: DataFrame, k: int = 3, seed: int = 20260924) -> DataFrame:
@@ -40,8 +42,11 @@ def route(features: DataFrame, k: int = 3, seed: int = 20260924) -> DataFrame:
     return found.select("plot_id", order[F.col("prediction")].alias("class_index"), *FEATURES)
 
 
-def nearest_centre(features: DataFrame, centres: DataFrame) -> DataFrame:
-    """Class of the nearest centre, the smaller of equal ones; centres are few (a row a class)."""
-    d2 = sum(((F.col(f) - F.col(f"c_{f}")) * (F.col(f) - F.col(f"c_{f}")) for f in FEATURES), F.lit(0.0))
-    both = features.join(F.broadcast(centres))
-    return both.groupBy("plot_id").agg(F.min(F.struct(d2.alias("d2"), "class_index")).alias("m")).select("plot_id", "m.class_index")
+def nearest_centre(features: DataFrame, centres: DataFrame, most: int = 1000) -> DataFrame:
+    """Class of the nearest centre, the smaller of equal ones; centres are few (a row a class), more than ``most`` an error."""
+    rows = centres.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centres")
+    far = lambda r: sum(((F.col(f) - r[f"c_{f}"]) * (F.col(f) - r[f"c_{f}"]) for f in FEATURES), F.lit(0.0))
+    each = F.array(*[F.struct(far(r).alias("d2"), F.lit(r.class_index).alias("class_index")) for r in rows])
+    return features.select("plot_id", F.array_min(each)["class_index"].alias("class_index"))

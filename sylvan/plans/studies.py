@@ -117,7 +117,8 @@ def propose_leave_one_out(spark: SparkSession, done: DataFrame, dimensions: int,
 def work_list(trials: DataFrame, plots: DataFrame, k: int) -> DataFrame:
     """The best candidates, each to be run on every plot: one job with a candidate column, counted by collection."""
     best = trials.groupBy("candidate_id").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "candidate_id").limit(k)
-    return plots.join(F.broadcast(best.select("candidate_id"))).groupBy("candidate_id", "collection").agg(F.count("*").alias("plots"))
+    best = F.array(*[F.lit(r.candidate_id) for r in best.collect()])  # k rows
+    return plots.withColumn("candidate_id", F.explode(best)).groupBy("candidate_id", "collection").agg(F.count("*").alias("plots"))
 
 
 def validation(candidates: DataFrame, flexible: bool = False) -> DataFrame:

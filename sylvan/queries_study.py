@@ -217,9 +217,8 @@ BALANCED = CROWNS.replace("WITH ", "WITH plots0 AS (SELECT CAST(n_nationkey AS B
  UNION ALL SELECT 'mean-iou', "mean_iou@0.50" FROM f UNION ALL SELECT 'area-iou', "area_iou@0.50" FROM f UNION ALL SELECT 'source-balanced-pq', s FROM b)""")
 def a18_s24_objectives(spark, sf):
     counts = at_thresholds(spark, sf, 0.5)
-    flat = evaluation.flattened(counts).crossJoin(
-        matching.source_balanced(counts[0.5], plots(spark, sf)).select(c("mean_pq").alias("source_balanced_pq"))
-    )  # one row each
+    balanced = matching.source_balanced(counts[0.5], plots(spark, sf)).first()  # one row
+    flat = evaluation.flattened(counts).withColumn("source_balanced_pq", F.lit(balanced.mean_pq).cast("double"))
     kinds = ("pq", "f1", "mean-iou", "area-iou", "source-balanced-pq")
     tables = [search.objective(flat, k).select(F.lit(k).alias("kind"), F.round("score", 6).alias("score")) for k in kinds]
     return reduce(lambda a, b: a.unionByName(b), tables)
