@@ -50,6 +50,8 @@ def segmented(raster: DataFrame, runs: DataFrame, flexible: bool = False) -> Dat
         pit, depth, sigma, median, least = (combination[k] for k in sizes)
         cells = own.filter(same).select("plot_id", "row_", "col", "h")
         found.append(focal.smooth(cells, median, pit, depth, sigma, least))
+    if not found:
+        return raster.sparkSession.createDataFrame([], crowns.CROWNS)
     smooth = reduce(DataFrame.unionByName, found)
     ready = written(smooth.join(runs.select(F.col("run_id").alias("plot_id"), *names), "plot_id"), "runs")
     tops = treetops.locate(ready, F.col("min_height"), lambda h: parameters.window(h, flexible))
