@@ -5,13 +5,15 @@ each marked as page furniture (by element, role and class), body text, prose of
 (outside paragraphs, headings, items, cells and quotes, or nothing but links).  Pages of a host are put in order of their
 path; a page is compared with the neighbour of another path that has the longest common prefix with its own (ties: the
 one before).  Where a host has one path only, the neighbours are its queries instead, of those whose lines differ.
-Lines of both pages are aligned by longest common subsequence.  Shared lines are deleted as template text, from the body
-of a page that marks no article and from the loose lines of one that does; a page with the very lines of its neighbour is
-a copy and keeps them.  Prose of a marked article is not touched: passages that articles share are still their text.
+Lines of all pages are aligned with those of that page by longest common subsequence.  Shared lines are deleted as
+template text, from the body of a page that marks no article and from the loose lines of one that does; a page with the very
+lines of its neighbour is a copy and keeps them.  Prose of a marked article may also be a passage that two articles share,
+which is their text: a shared line of prose is template text if SUPPORT different pages of the host and over half of them
+have it, and the article is a near copy, which keeps its prose, if over half of its characters would go that way.
 
 Scale: pages are parsed once, in Arrow batches, into a written table of what can be output and of line hashes.
 Differencing moves hashes only.  Each path is represented by one page (the smallest page_id and row), so a path with a
-third of all pages is one row; a range shuffle of paths by (host, path) splits a hot host over many tasks, and paths at a
+third of all pages is one row; lines of a host are counted by (host, line) with partial sums; a range shuffle of paths by (host, path) splits a hot host over many tasks, and paths at a
 range's ends see the next range's end, of which the driver hands round two keys a range.  Texts are shuffled only for pages
 of which a line can be deleted.
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read, scan_partitions, written
+from .shared import let, read, scan_partitions, written
 from .url_filter import host_of, path_of
 from .wordhash import slices
 
@@ -63,6 +65,8 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt td th caption blockquote pre figcaption summary".split())
 OTHER, BODY, ARTICLE, LOOSE = 0, 1, 2, 3
+#: Different pages of a host that must have a line of prose before it can be template text.
+SUPPORT = 5
 
 
 def meaning(name: str, attributes: str, inside: int) -> int:
@@ -182,7 +186,7 @@ LINES = "page_id long, url string, host string, path string, query string, lines
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Written table of parsed pages, each with a row id: text that stays, lines that may be deleted and their numbers, hashes."""
+    """Written table of parsed pages, each with a row id: lines that can be output, which of them are prose, hashes of all."""
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "html")):
@@ -201,16 +205,14 @@ def parse(pages: DataFrame) -> DataFrame:
         "page_id", "url", "html", host_of(url).alias("host"), path_of(url).alias("path"), query.alias("query")
     ).mapInArrow(run, LINES)
     marked = F.exists("kinds", lambda k: (k == ARTICLE) | (k == LOOSE))
-    kept = lambda *which: F.filter("lines", lambda x, i: F.get("kinds", i).isin(*which))
-    # sure: nothing of the page can be deleted
-    sure = F.when(F.exists("kinds", lambda k: k == LOOSE), False).otherwise(marked)
+    own = F.when(marked, F.array(F.lit(ARTICLE), F.lit(LOOSE))).otherwise(F.array(F.lit(BODY)))
+    # sure: all that can be output is prose of a marked article
+    sure = marked & ~F.exists("kinds", lambda k: k == LOOSE)
     found = parsed.select(
         "page_id", "url", "host", "path", "query", F.monotonically_increasing_id().alias("row"), sure.alias("sure"),
         F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
-        F.when(sure, F.array_join(kept(ARTICLE), "\n")).alias("text"),
         F.when(~sure & marked, F.transform("kinds", lambda k: k.isin(ARTICLE))).alias("prose"),
-        F.when(~sure, F.when(marked, F.transform("lines", lambda x, i: F.when(F.get("kinds", i).isin(ARTICLE, LOOSE), x)))
-               .otherwise(F.transform("lines", lambda x, i: F.when(F.get("kinds", i) == BODY, x)))).alias("lines"),
+        let(own, lambda o: F.transform("lines", lambda x, i: F.when(F.array_contains(o, F.get("kinds", i)), x))).alias("lines"),
     )
     return written(found, "pages-parsed")
 
@@ -263,34 +265,59 @@ def partners(parsed: DataFrame) -> DataFrame:
     return found.join(hashes, "near").drop("near")
 
 
+def host_lines(lines: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(host, common): hashes of the lines that ``support`` different pages and over half of those of a host have."""
+    pages = written(lines.groupBy("host", "lines_hash").agg(F.first("hashes").alias("hashes")), "pages-different")
+    n = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    seen = pages.select(F.col("host").alias("own"), F.explode(F.array_distinct("hashes")).alias("line"))
+    seen = seen.groupBy("own", "line").agg(F.count("*").alias("times")).filter(F.col("times") >= support)
+    often = seen.join(n, F.col("own") == F.col("host")).filter(2 * F.col("times") > F.col("n"))
+    return written(often.groupBy("host").agg(F.collect_list("line").alias("common")), "pages-common")
+
+
 def difference(parsed: DataFrame) -> DataFrame:
-    """(row, shared): numbers of the lines that a page which may lose lines shares with the page of its nearest url."""
+    """(row, shared, common): numbers of the lines that a page shares with the page of its nearest url, and those of them
+    that are common on its host. Pages that can't lose a line for that are left out."""
     lines = parsed.select("page_id", "row", "host", "path", "query", "sure", "hashes", F.xxhash64("hashes").alias("lines_hash"))
     other = written(partners(lines), "pages-partners")
+    often = host_lines(lines)
 
     def run(batches):
         for batch in batches:
-            both = zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist())
-            shared = pa.array([shared_lines(a, b) if b and a != b else [] for a, b in both], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), shared], names=["row", "shared"])
+            found = {"row": [], "shared": [], "common": []}
+            for row, sure, own, near, often in zip(*(batch.column(c).to_pylist() for c in ("row", "sure", "hashes", "other", "common"))):
+                shared = shared_lines(own, near) if near and own != near else []
+                often = set(often or ())
+                common = [k for k in shared if own[k] in often]
+                if common or (shared and not sure):
+                    for name, value in zip(found, (row, shared, common)):
+                        found[name].append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found["row"], pa.int64()), *(pa.array(found[c], pa.list_(pa.int32())) for c in ("shared", "common"))], names=list(found)
+            )
 
-    asked = lines.filter(~F.col("sure"))
-    by_path = asked.join(other.filter("lines_hash is null").drop("lines_hash"), ["host", "path"]).select("row", "hashes", "other")
-    by_lines = asked.join(other.filter("lines_hash is not null"), ["host", "path", "lines_hash"]).select("row", "hashes", "other")
-    return by_path.union(by_lines).mapInArrow(run, "row long, shared array<int>")
+    asked = lines.select("row", "host", "path", "sure", "hashes", "lines_hash")
+    by_path = asked.join(other.filter("lines_hash is null").drop("lines_hash"), ["host", "path"])
+    by_lines = asked.join(other.filter("lines_hash is not null"), ["host", "path", "lines_hash"])
+    both = by_path.select("row", "host", "sure", "hashes", "other").union(by_lines.select("row", "host", "sure", "hashes", "other"))
+    both = both.join(often, "host", "left").select("row", "sure", "hashes", "other", "common")
+    return written(both.mapInArrow(run, "row long, shared array<int>, common array<int>"), "pages-shared")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines deleted as shared): one row per input row."""
     parsed = parse(pages)
-    sure = parsed.filter("sure").select("page_id", "url", "text", F.lit(0).alias("n_shared"))
-    open_ = parsed.filter("not sure").select("row", "page_id", "url", "lines", "prose")
-    open_ = open_.join(difference(parsed), "row", "left")
-    gone = lambda i: F.coalesce(F.array_contains("shared", i), F.lit(False)) & ~F.coalesce(F.get("prose", i), F.lit(False))
-    kept = F.filter("lines", lambda x, i: x.isNotNull() & ~gone(i))
+    out = parsed.select("row", "page_id", "url", "lines", "prose", "sure").join(difference(parsed), "row", "left")
+    has = lambda places, i: F.coalesce(F.array_contains(places, i), F.lit(False))
+    prose = lambda i: F.col("sure") | F.coalesce(F.get("prose", i), F.lit(False))
+    size = lambda which: F.aggregate(F.transform("lines", lambda x, i: F.when(x.isNotNull() & which(i), F.length(x)).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    copy = let(F.size("common"), lambda n: (n > 0) & (2 * size(lambda i: prose(i) & has("common", i)) > size(prose)))
+    gone = lambda i: F.when(prose(i), has("common", i) & ~F.col("copy")).otherwise(has("shared", i))
+    out = out.withColumn("copy", F.when(F.col("shared").isNotNull(), copy).otherwise(False))
     before = F.filter("lines", lambda x: x.isNotNull())
-    rest = open_.select("page_id", "url", F.array_join(kept, "\n").alias("text"), (F.size(before) - F.size(kept)).alias("n_shared"))
-    return sure.union(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    kept = F.when(F.col("shared").isNull(), before).otherwise(F.filter("lines", lambda x, i: x.isNotNull() & ~gone(i)))
+    out = out.select("page_id", "url", F.array_join(kept, "\n").alias("text"), (F.size(before) - F.size(kept)).alias("n_shared"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def op1_html_extraction(spark, sf_dir):

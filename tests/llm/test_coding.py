@@ -208,6 +208,19 @@ def test_loose_lines_of_an_article_and_copies(spark):
     assert [found[k].text for k in (4, 5, 6)] == [whole("C"), whole("C"), whole("D")]
 
 
+def test_common_prose_of_a_host_is_template_text(spark):
+    page = lambda x, k: f"<article><h1>{x}</h1><p>{x} {k} says much more than this.</p><p>{'Quoted.' if k < 2 else x}</p><p>Read all our news.</p></article>"
+    rows = [(k, f"http://h.com/a/{k}", page("ABCDEFG"[k], k)) for k in range(7)]
+    near = "<article><p>One long passage that all copies have.</p><p>Another long one that they have.</p><p>{}</p></article>"
+    rows += [(10 + k, f"http://copies.com/{k}", near.format(k)) for k in range(7)]
+    rows += [(20 + k, f"http://few.com/{k}", page("ABCD"[k], k)) for k in range(4)]
+    found = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    body = lambda x, k: f"{x}\n{x} {k} says much more than this.\n{'Quoted.' if k < 2 else x}"
+    assert [(found[k].text, found[k].n_shared) for k in range(7)] == [(body("ABCDEFG"[k], k), 1) for k in range(7)]
+    assert all(found[10 + k].n_shared == 0 and found[10 + k].text.endswith(f"they have.\n{k}") for k in range(7))
+    assert all(found[20 + k].text == body("ABCD"[k], k) + "\nRead all our news." for k in range(4))
+
+
 def test_pages_that_differ_by_query_alone(spark):
     page = lambda x: f"<body><div>Menu line</div><p>{x}</p><div>Bottom line</div></body>"
     rows = [(k, f"http://q.com/index.php?id={k}", page(f"text {k // 2}")) for k in range(8)]
