@@ -139,17 +139,25 @@ def consistent(held: Column, ws: Column) -> Column:
     return F.exists(held["leads"], agrees)
 
 
+def text_windows(docs: DataFrame, names: bool = True) -> DataFrame:
+    """(digest, pos, hash) of every window of every text; one row of nulls for a text without any.
+
+    The explode is an outer one, because Spark adds a filter on the size of the array below an inner one, which works the
+    templates out a second time.
+    """
+    digest = F.md5(F.encode(F.col("text"), "UTF-8")).alias("digest")
+    found = docs.select(digest, window_hashes(template(F.col("text"), names)).alias("h"))
+    return found.select("digest", F.posexplode_outer("h").alias("pos", "hash"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc (struct of the row), items (sorted ids of the items it holds, empty if clean): one row per input row."""
     windows, items, whole = benchmark_windows(benchmark)
     short = whole.filter("hashes is null and size(v) > 0").select("item", "v")
     small = windows.count() <= most_broadcast
     digest = F.md5(F.encode(F.col("text"), "UTF-8")).alias("digest")
-    spread = docs.select(digest, template(F.col("text")).alias("t")).select("digest", window_hashes(F.col("t")).alias("h"))
-    spread = spread.select("digest", F.posexplode("h").alias("pos", "hash"))
     blind = docs if not whole.filter("capitals").isEmpty() else docs.filter(in_capitals(F.col("text")))
-    blind = blind.select(digest, window_hashes(template(F.col("text"), False)).alias("h"))
-    spread = spread.union(blind.select("digest", F.posexplode("h").alias("pos", "hash")))
+    spread = text_windows(docs).union(text_windows(blind, False))
     hits = spread.join(F.broadcast(windows) if small else windows, "hash")
     # every place where a window of the item was found, as a set: copies of a text fall together in each task
     hit = F.struct("at", (F.col("pos") - F.col("at")).alias("shift"))

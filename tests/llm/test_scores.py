@@ -160,6 +160,26 @@ def test_slots_move_with_inserted_words(spark):
     assert found == {1: [1], 2: [1], 3: [], 4: [1], 5: [1], 6: []}
 
 
+def test_templates_are_worked_out_once(spark, tmp_path):
+    """Of the plan of the windows' join: no filter repeats the patterns that the projection holds."""
+    spark.createDataFrame([(1, ITEM), (2, "short"), (3, None), (4, ITEM.upper())], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    runs = []
+    join = type(docs).join
+
+    def noted(self, other, *args):
+        out = join(self, other, *args)
+        if args == ("hash",):
+            runs.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "join", noted)
+        found = decontaminate.find_leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert {r.doc.doc_id: r["items"] for r in found} == {1: [1], 2: [], 3: [], 4: [1]}
+    assert len(runs) == 1 and runs[0].count("split(") == 2  # once with names, once without
+
+
 def test_leaks_of_nothing(empty, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(empty, bench).collect() == []
