@@ -14,8 +14,9 @@ Result: doc_id, class_id (smallest doc_id of its linked documents, its own if no
 Jaccard similarity of the threshold or more, copies included).
 
 Scale: shuffles carry a row for each document and for each class and band, a row for each star edge, and the texts of
-classes in candidate groups (once in a small group; once for each shared band hash and chunk in a large one).  Nothing
-but counts reaches the driver.  Stars through a hot hash are pre-aggregated minima; components come from the alternating
+classes in candidate groups (once in a small group; once for each shared band hash and chunk in a large one).  Whole rows
+are sifted by a filter of the wanted keys before a join, so that those of other documents are not shuffled.  Nothing but
+counts and that filter (at most 16 MB) reaches the driver.  Stars through a hot hash are pre-aggregated minima; components come from the alternating
 star algorithm whose tables are written to the shared folder, and deleted when the next ones are there.  Counting the
 links of g different, similar texts takes g * g / 2 verifications (up to once a shared band in a large group), spread over
 tiles; copies are free.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, read, written
+from .shared import forget, read, sifted, written
 from .wordhash import buffers, hashed, mix, ngrams, slices, word_bounds
 
 SHINGLE, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 6
@@ -241,6 +242,10 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")
 
 
+def row_hash(doc_id: str, digest: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), digest)
+
+
 def classify(
     docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, recall: float = RECALL, rows: int = ROWS, tile: int = TILE
 ) -> tuple[DataFrame, DataFrame]:
@@ -283,6 +288,7 @@ def classify(
     )
     # one text for each class: rows that are equal in id and text are one here
     asked = dealt.select("node", F.col("best.doc_id").alias("own"), F.col("best.digest").alias("digest"))
+    texts, _ = sifted(texts, row_hash("doc_id", "digest"), asked.select(row_hash("own", "digest").alias("h")))
     body = texts.join(asked, (texts["doc_id"].eqNullSafe(asked["own"])) & (texts["digest"] == asked["digest"])).select("node", "text")
     body = written(body.groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
     placed = small.drop("best").unionByName(bucket.drop("best")).join(body, "node")
@@ -319,10 +325,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = judged.groupBy("doc_id", "digest").agg(F.first(stays).alias("stays"), F.count("*").alias("times"))
     keys = written(keys.filter("not stays or times > 1").select(F.col("doc_id").alias("own"), F.col("digest").alias("d"), "stays"), "ngram-gone")
     tagged = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    same = tagged["doc_id"].eqNullSafe(keys["own"]) & (tagged["__digest"] == keys["d"])
-    once = tagged.join(keys, same, "left_anti")
-    again = tagged.join(keys.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return once.union(again).drop("__digest")
+    some, none = sifted(tagged, row_hash("doc_id", "__digest"), keys.select(row_hash("own", "d").alias("h")))
+    same = some["doc_id"].eqNullSafe(keys["own"]) & (some["__digest"] == keys["d"])
+    once = some.join(keys, same, "left_anti")
+    again = some.join(keys.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return none.union(once).union(again).drop("__digest")
 
 
 def op10_ngram_join(spark, sf_dir):

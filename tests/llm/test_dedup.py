@@ -6,10 +6,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sylvan.llm import ngram_join, substring_dedup
+from sylvan.llm import ngram_join, shared, substring_dedup
 
-from .conftest import shingles, words
+from .conftest import EN, prose, shingles, words
 
 
 def removed(rows, least):
@@ -174,6 +175,44 @@ def test_one_of_equal_rows_stays(spark, empty):
     assert ngram_join.keep_one(empty).collect() == []
 
 
+def test_rows_are_sifted(spark):
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 5 > 0, F.xxhash64("id")).otherwise(-F.col("id")).alias("h"))
+    keys = rows.filter("id % 50 < 5").select("h")
+    for most, spare in ((shared.MOST_WORDS, 0.15), (4, 1)):  # a filter that is too small lets rows through, but loses none
+        some, none = shared.sifted(rows, F.col("h"), keys, most)
+        got, rest = [{r.id for r in part.collect()} for part in (some, none)]
+        assert not got & rest and len(got) + len(rest) == 20000 and some.columns == rows.columns
+        assert {k for k in range(20000) if k % 50 < 5} <= got and len(got) <= 2000 + 18000 * spare
+    some, none = shared.sifted(rows, F.col("h"), keys.filter("false"))
+    assert some.count() == 0 and none.count() == 20000
+
+
+def test_few_rows_are_shuffled_for_one_of_each_group(spark, tmp_path):
+    """Keys beyond the size of a broadcast: texts without copies don't come to an exchange."""
+    rng = random.Random(3)
+    texts = [prose(rng, EN, 40) for _ in range(400)]
+    rows = [(k, t) for k, t in enumerate(texts + texts[:20])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan's nodes keep their counts
+        kept = ngram_join.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+        plan = kept._jdf.queryExecution().executedPlan()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+        moved, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+            names = [node.output().apply(k).name() for k in range(node.output().size())]
+            if node.nodeName() == "Exchange" and "text" in names:
+                moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert moved and max(moved) < 200
+
+
 def test_query_of_the_join(tmp_path, docs, rows, spark):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = ngram_join.op10_ngram_join(spark, str(tmp_path)).collect()
